@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import nearest
+from tidewater.llm import encode, nearest, runs, unify
 
 QUERIES = {
     "p1_found": (nearest.p1_found, nearest.P1_SQL),
+    "p2_found": (runs.p2_found, None),
+    "p2_runs": (runs.p2_runs, None),
+    "p3_found": (unify.p3_found, None),
+    "p3_unified": (unify.p3_unified, None),
+    "p8_ids": (encode.p8_ids, None),
 }
