@@ -47,9 +47,12 @@ def nearest_in_time(
     open_points = points
     widths = ring_widths(tolerance_ms, rings)
     for n, width in enumerate(widths):
-        bucket = F.floor(F.col("_ms") / width)
+        # Never NULL by type: else the planner would push a filter on each ring's own bucket below the aggregate of the
+        # right side, and the rings could no longer share that shuffle.
+        at = lambda c: F.coalesce(F.floor(F.col(c) / width), F.lit(0))  # noqa: B023, E731
+        bucket = at("_ms")
         probes = open_points.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-        cells = rights.withColumn("_b", F.floor(F.col("_rms") / width))
+        cells = rights.withColumn("_b", at("_rms"))
         gap = F.abs(F.col("_ms") - F.col("_rms"))
         near = F.min(F.when(gap <= (width if tolerance_ms else 0), F.struct(gap.alias("d"), "_rms", "_rid")))
         tried = probes.join(cells, [*ks, "_b"], "left").groupBy(*ks, "_ms").agg(near.alias("_near"))
