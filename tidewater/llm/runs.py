@@ -16,7 +16,7 @@ from tidewater.tables import load
 
 SLIPS = 2
 _TOKENS = re.compile(r"\d+|[^\W\d_]+")
-_DRAWN = re.compile(r"([^\W\d_])\1+")
+_DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _IDEOGRAPH = re.compile("[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -55,7 +55,7 @@ def says_the_same(a: str, b: str, slips: int = SLIPS) -> bool:
         if p != q:
             if min(len(p), len(q)) <= 3 and len(p) == len(q) and sorted(p) != sorted(q):
                 return False
-            if osa(p, q, slips) > (1 if max(len(p), len(q)) < 5 else slips):
+            if osa(p, q, slips) > (1 if max(len(p), len(q)) < 4 else slips):
                 return False
     return True
 
