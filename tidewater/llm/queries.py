@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import encode, nearest, runs, unify
+from tidewater.llm import encode, mojibake, nearest, runs, unify
 
 QUERIES = {
     "p1_found": (nearest.p1_found, nearest.P1_SQL),
@@ -11,4 +11,6 @@ QUERIES = {
     "p3_found": (unify.p3_found, None),
     "p3_unified": (unify.p3_unified, None),
     "p8_ids": (encode.p8_ids, None),
+    "p10_found": (mojibake.p10_found, None),
+    "p10_restored": (mojibake.p10_restored, None),
 }
