@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import encode, mojibake, nearest, runs, unify
+from tidewater.llm import encode, language, mojibake, nearest, runs, unify
 
 QUERIES = {
     "p1_found": (nearest.p1_found, nearest.P1_SQL),
@@ -10,6 +10,10 @@ QUERIES = {
     "p2_runs": (runs.p2_runs, None),
     "p3_found": (unify.p3_found, None),
     "p3_unified": (unify.p3_unified, None),
+    "p4_found": (language.p4_found, None),
+    "p4_documents": (language.p4_documents, None),
+    "p4_tracks": (language.p4_tracks, None),
+    "p4_segments": (language.p4_segments, None),
     "p8_ids": (encode.p8_ids, None),
     "p10_found": (mojibake.p10_found, None),
     "p10_restored": (mojibake.p10_restored, None),
