@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import encode, language, mojibake, nearest, runs, unify
+from tidewater.llm import abuse, encode, language, mojibake, nearest, runs, unify
 
 QUERIES = {
     "p1_found": (nearest.p1_found, nearest.P1_SQL),
@@ -14,6 +14,9 @@ QUERIES = {
     "p4_documents": (language.p4_documents, None),
     "p4_tracks": (language.p4_tracks, None),
     "p4_segments": (language.p4_segments, None),
+    "p6_found": (abuse.p6_found, None),
+    "p6_rates": (abuse.p6_rates, None),
+    "p6_scores": (abuse.p6_scores, None),
     "p8_ids": (encode.p8_ids, None),
     "p10_found": (mojibake.p10_found, None),
     "p10_restored": (mojibake.p10_restored, None),
