@@ -45,3 +45,16 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, record: str, value:
 def with_carried(df: DataFrame, keys: Sequence[str], ends: DataFrame) -> DataFrame:
     on = [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in keys] + [F.col("_block") == F.col("_cblock")]
     return df.join(ends, on, "left").drop(*(f"_c{k}" for k in keys), "_cblock")
+
+
+def stitch(runs: DataFrame, keys: Sequence[str], aggs: Sequence[Column], out: Sequence[str]) -> DataFrame:
+    """Join the runs of each sequence that go on across a block's end.
+
+    ``runs`` has one row per run inside a block, with ``_first`` (its place), ``_on`` (it continues the run before the
+    block) and ``_tail`` (it may go on in the next block). Only runs with either mark go through the window over the
+    whole sequence, at most two per block. ``aggs`` merge the rows of one run; ``out`` names the resulting columns.
+    """
+    edge = F.col("_on") | F.col("_tail")
+    seq = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, 0)
+    joined = runs.filter(edge).withColumn("_g", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(seq)).groupBy(*keys, "_g").agg(*aggs)
+    return runs.filter(~edge).select(*out).unionByName(joined.select(*out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import abuse, encode, language, mojibake, nearest, runs, unify
+from tidewater.llm import abuse, encode, language, mojibake, nearest, runs, turns, unify
 
 QUERIES = {
     "p1_found": (nearest.p1_found, nearest.P1_SQL),
@@ -17,6 +17,8 @@ QUERIES = {
     "p6_found": (abuse.p6_found, None),
     "p6_rates": (abuse.p6_rates, None),
     "p6_scores": (abuse.p6_scores, None),
+    "p7_found": (turns.p7_found, None),
+    "p7_turns": (turns.p7_turns, None),
     "p8_ids": (encode.p8_ids, None),
     "p10_found": (mojibake.p10_found, None),
     "p10_restored": (mojibake.p10_restored, None),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.blocks import BLOCK, block_of, carried, in_block, once, with_carried
+from tidewater.llm.blocks import BLOCK, block_of, carried, in_block, once, stitch, with_carried
 from tidewater.llm.text import canonical, osa, per_distinct, wordless
 from tidewater.tables import load
 
@@ -110,17 +110,10 @@ def collapse_runs(
     )
     # The run at a block's end is its last one; it may go on in the next block.
     runs = runs.withColumn("_tail", F.col("_more") & (F.lead("_n").over(Window.partitionBy(*ks, "_block").orderBy("_n")).isNull()))
-    edge = F.col("_on") | F.col("_tail")
-    out = [*ks, "_first", "_last", "n", "_s", "_e", "_v"]
-    seq = Window.partitionBy(*ks).orderBy("_first").rowsBetween(Window.unboundedPreceding, 0)
-    stitched = (
-        runs.filter(edge).withColumn("_g", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(seq))
-        .groupBy(*ks, "_g")
-        .agg(F.min("_first").alias("_f"), F.max("_last").alias("_last"), F.sum("n").alias("n"), F.min("_s").alias("_s"),
-             F.max("_e").alias("_e"), F.min_by("_v", "_first").alias("_v"))
-        .withColumnRenamed("_f", "_first").select(*out)
-    )
-    done = runs.filter(~edge).select(*out).unionByName(stitched)
+    done = stitch(runs, ks, [
+        F.max("_last").alias("_last"), F.sum("n").alias("n"), F.min("_s").alias("_s"),
+        F.max("_e").alias("_e"), F.min_by("_v", "_first").alias("_v"), F.min("_first").alias("_first"),
+    ], [*ks, "_first", "_last", "n", "_s", "_e", "_v"])
     return done.select(
         *(F.col(a).alias(k) for k, a in zip(keys, ks)), F.col("_first._r").alias(f"first_{record}"),
         F.col("_last._r").alias(f"last_{record}"), "n", F.col("_s").alias(start), F.col("_e").alias(end),

@@ -93,6 +93,9 @@ _SHAPES = str.maketrans({c: line[0] for line in LOOKALIKES.split("\n") if line f
 _INVISIBLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "]")
 _SPACE = re.compile(r"[\s ⠀]")
 _CYRILLIC = re.compile("[Ѐ-ԯ]")
+#: Letters that only Cyrillic has: with one of them a text's Cyrillic words are real ones.
+_OWN_CYRILLIC = re.compile("[" + "".join(chr(c) for c in range(0x400, 0x530) if c not in _SHAPES) + "]")
+_NO_LATIN = re.compile(r"(?<![A-Za-z])[Ѐ-ԯ]+(?![A-Za-z])")
 
 
 def canonical(text: str, fold: bool = True) -> str:
@@ -106,6 +109,9 @@ def canonical(text: str, fold: bool = True) -> str:
         return out.casefold() if fold else out
     out = _INVISIBLE.sub("", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
     out = _SPACE.sub(" ", out)
+    if fold and _OWN_CYRILLIC.search(out):
+        # Capitals look like Latin letters more often than small ones do: real Cyrillic is folded before shapes are mapped.
+        out = _NO_LATIN.sub(lambda m: m.group().casefold(), out)
     # Shapes are compared without their marks, so that an accented look-alike falls on the accented letter.
     out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", out).translate(_SHAPES))
     if fold:
