@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import abuse, encode, language, mojibake, nearest, runs, turns, unify
+from tidewater.llm import abuse, encode, language, mixing, mojibake, nearest, runs, turns, unify
 
 QUERIES = {
     "p1_found": (nearest.p1_found, nearest.P1_SQL),
@@ -20,6 +20,9 @@ QUERIES = {
     "p7_found": (turns.p7_found, None),
     "p7_turns": (turns.p7_turns, None),
     "p8_ids": (encode.p8_ids, None),
+    "p9_mix": (mixing.p9_mix, None),
+    "p9_shares": (mixing.p9_shares, None),
+    "p9_sequence": (mixing.p9_sequence, None),
     "p10_found": (mojibake.p10_found, None),
     "p10_restored": (mojibake.p10_restored, None),
 }
