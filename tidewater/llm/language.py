@@ -389,7 +389,9 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     phrases = [r.text for r in load(spark, sf_dir, "catchphrases", "text").collect()]
     odd = parts.filter("lang <> whole").select("cue_id", "lang")
     texts = load(spark, sf_dir, "cues", "cue_id", "text")
-    odd = odd.join(texts, "cue_id").distinct().filter(~phrase_udf(spark, phrases)("text"))
+    # The condition names a column of either side, else it would be worked out for every cue, below the join.
+    odd_text = F.when(F.col("lang").isNotNull(), F.col("text"))
+    odd = odd.join(texts, "cue_id").distinct().filter(~phrase_udf(spark, phrases)(odd_text))
     odd = odd.select(F.lit("cues").alias("tab"), F.col("cue_id").alias("row_id"), "lang")
     documents = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
     language = document_udf(spark, model)
