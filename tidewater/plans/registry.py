@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from tidewater.operators import intervals
+from tidewater.plans import bundles, live, parsing, scalars, timeline, trust, words  # noqa: F401
+from tidewater.plans.base import QUERIES as _PLANNED
 
-FLAGSHIP = "interval_periods"
+FLAGSHIP = "live_summary"
 QUERIES = {
     "p5_found": (intervals.p5_found, intervals.P5_SQL),
     "interval_periods": (intervals.interval_periods, intervals.PERIODS_SQL),
+    **_PLANNED,
 }
