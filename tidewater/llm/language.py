@@ -18,6 +18,7 @@ from tidewater.llm.text import LOOKALIKES, canonical, osa, wordless
 from tidewater.tables import cut_lineage, load
 
 LANGS = ["zh", "en", "ja", "es", "fr", "de", "ru"]
+LATIN = [LANGS.index(x) for x in ("en", "es", "fr", "de")]
 # The subtags that name each language.
 SUBTAGS = {
     "zh": "zh zho chi cmn yue chinese mandarin", "en": "en eng english", "ja": "ja jpn jp japanese", "es": "es spa spanish español",
@@ -155,6 +156,9 @@ class Model:
                 if len(firsts):
                     ll[where[firsts]] += np.add.reduceat(part, firsts, axis=0)
         letters = np.bincount(seg[chars != 32], minlength=len(owner)) if len(owner) else np.zeros(0, np.int64)
+        # One to three Latin letters are nobody's language.
+        other = np.bincount(seg[chars >= 0x250], minlength=len(owner)) if len(owner) else letters
+        letters = np.where((letters < 4) & (other == 0), 0, letters)
         if not split and len(owner) < len(texts):  # empty texts have no segment of their own
             full = np.zeros((len(texts), 8))
             n = np.zeros(len(texts), np.int64)
@@ -166,14 +170,17 @@ class Model:
         """Code of each segment with letters, and the text it is of."""
         ll, letters, owner = self.likelihoods(texts, split)
         keep = letters > 0
-        ll, owner = ll[keep], owner[keep]
+        ll, owner, letters = ll[keep], owner[keep], letters[keep]
         if not len(ll):
             return np.zeros(0, np.int64), owner
         two = np.argpartition(-ll, 1, axis=1)[:, :2]
         a, b = np.take_along_axis(ll, two, axis=1).T
         swap = b > a
         best, second = np.where(swap, two[:, 1], two[:, 0]), np.where(swap, two[:, 0], two[:, 1])
-        gap = np.minimum(STEPS - 1, np.abs(a - b) / STEP).astype(np.int64)
+        # A few letters may be a loanword: between languages of one script they count for less.
+        latin = np.isin(best, LATIN) & np.isin(second, LATIN)
+        sure = np.where(latin, np.minimum(1.0, letters / 12), 1.0)
+        gap = np.minimum(STEPS - 1, np.abs(a - b) * sure / STEP).astype(np.int64)
         return (best * 8 + second) * STEPS + gap, owner
 
 

@@ -35,6 +35,8 @@ CHAINS = [
     [("gbk", "utf-8")], [("big5", "utf-8")], [("cp932", "utf-8")], [("euc-jp", "utf-8")], [("cp1252", "utf-8")], [("cp1251", "utf-8")],
     [("gbk", "utf-8"), ("utf-8", "gbk")], [("cp932", "utf-8"), ("utf-8", "cp932")],
 ]
+# Signs that are common in clean text of the Latin script, which a sample may happen to lack.
+PROPER = "àâäçéèêëîïìôöòùûüúÿœæñáíóãõåøßłśżźćńęąčšžřůěşğıőűÀÉÈÇÑÖÜÁÍÓÚ¿¡“”‘’„–—…«»€°·×"
 BUCKETS = 1 << 15
 SAMPLE_DOCS = 3000
 SAMPLE_LINES = 12000
@@ -146,7 +148,7 @@ class Model:
         sets, self.chain = [], []
         for g in groups:
             # Other texts hold characters of a script as well; each script's lines are enough for its statistics.
-            sets.append(g)
+            sets.append(g + [f"{c} a{c}e {c}n {c}" for c in PROPER] * (g is groups[-1]))
             self.chain.append(0)
             some = g[:: max(1, len(g) // 1500)]
             for k, chain in enumerate(CHAINS):

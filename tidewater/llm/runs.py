@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
 
@@ -45,6 +46,11 @@ def says_the_same(a: str, b: str, slips: int = SLIPS) -> bool:
     most = slips if len(x) >= 8 else 1
     if min(len(x), len(y)) < 3:
         return False
+    # One ideograph in another's place is another word, not a letter lost and one added.
+    lo = len(os.path.commonprefix([x, y]))
+    hi = len(os.path.commonprefix([x[lo:][::-1], y[lo:][::-1]]))
+    if len(x) - lo - hi == len(y) - lo - hi == 1 and _IDEOGRAPH.match(x[lo]):
+        return False
     swap = lambda p, q: slips + 1 if _IDEOGRAPH.match(p) or _IDEOGRAPH.match(q) else 1
     if osa(x, y, most, swap) > most:
         return False
