@@ -312,7 +312,7 @@ def sequence_languages(df: DataFrame, *, keys: list[str], record: str, text: str
 
     Per sequence only the counts of segment codes are gathered, at most a few thousand however long it is. A segment's
     language follows from its own likelihoods and the proportions of its sequence, so a short or ambiguous segment
-    stands in the language of the sequence. Wordless segments and sound marks have no row and no vote; repeated rows
+    stands in the language of the sequence. Wordless segments, sound marks and segments of fewer than four Latin letters have no row and no vote; repeated rows
     count once; an empty table gives no rows; other columns are not read.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
