@@ -96,3 +96,24 @@ def test_paged_census_keeps_what_came_before_a_broken_page(spark, tmp_path):
 def test_python_functions():
     assert python.folded("Ａ b-Ç") == "abç" and python.ratio("", "a") == 0.0 and python.ratio("ab", "ab") == 1.0
     assert python.support("abc", "xxabcxx") == 1.0 and python.support("abcd", "xxabzdxx") > 0.6 and python.support("abc", "") == 0.0
+
+
+def test_recordings_match_in_spite_of_gain_and_offset():
+    import numpy as np
+
+    from tidewater.functions import signal
+
+    rng = np.random.default_rng(5)
+    whole = np.convolve(rng.normal(size=30 * signal.RATE), np.ones(4) / 4, "same").astype(np.float32)
+    part = whole[3 * signal.RATE : 23 * signal.RATE] * 0.4
+    got = signal.compare(part, whole)
+    assert got["decision"] == "same_recording" and abs(got["offsets"][0] - 3) < 0.002
+    assert signal.compare(rng.normal(size=20 * signal.RATE).astype(np.float32), whole)["decision"] == "not_established"
+    assert signal.compare(part[:100], whole)["decision"] == "too_short"
+    tone = np.sin(np.arange(2 * signal.RATE) * 0.5).astype(np.float32)
+    assert signal.landmarks(tone) == signal.landmarks(tone) and signal.landmarks(tone[:10]) == []
+
+
+def test_folds_on_changes(spark):
+    rows_ = spark.createDataFrame([("v", i, v) for i, v in enumerate((0, 4, 9, 10, 25))], "k string, n int, v bigint")
+    assert [r[1] for r in rows(folds.changed(rows_, ["k"], ["n"], "v", 9))] == [0, 2, 4]

@@ -102,3 +102,16 @@ def line_breaks(df: DataFrame, keys: Sequence[str], order: str, *, words: int =
     done = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows")).withColumn("s", F.aggregate("_rows", zero, step))
     tail = F.when(F.col("s.n") > 0, F.array(F.struct(F.col("s.first").alias("first"), F.col("s.last").alias("last")))).otherwise(F.array().cast(f"array<struct<first:{kind},last:{kind}>>"))
     return done.select(*keys, F.explode(F.concat("s.kept", tail)).alias("x")).select(*keys, "x.*")
+
+
+def changed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, least: float) -> DataFrame:
+    """Rows whose value differs by at least ``least`` from that of the last row that did; the first one always."""
+    kind = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in order)
+    zero = F.struct(F.lit(None).cast(df.schema[value].dataType).alias("last"), F.array().cast(f"array<struct<{kind}>>").alias("kept"))
+
+    def step(state: Column, row: Column) -> Column:
+        new = state["last"].isNull() | (F.abs(row[value] - state["last"]) >= least)
+        mine = F.struct(*(row[c].alias(c) for c in order))
+        return F.struct(F.when(new, row[value]).otherwise(state["last"]).alias("last"), _add(state["kept"], mine, new).alias("kept"))
+
+    return fold_rows(df, keys, order, [value], zero, step)
