@@ -41,6 +41,8 @@ TEMPER = 0.35
 #: Grid on which a segment's log odds between its two likeliest languages are kept.
 STEP, STEPS = 0.25, 64
 CYCLES = 25
+#: Characters worked on at once; the arrays take some fifty bytes for each.
+SLICE = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -167,7 +169,19 @@ class Model:
         return ll[:, :7] * TEMPER, letters, owner
 
     def codes(self, texts: list[str], split: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Code of each segment with letters, and the text it is of."""
+        """Code of each segment with letters, and the text it is of. Works on about SLICE characters at a time."""
+        done, lo, size = [], 0, 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= SLICE or hi == len(texts):
+                code, owner = self._codes(texts[lo:hi], split)
+                done.append((code, owner + lo))
+                lo, size = hi, 0
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([c for c, _ in done]), np.concatenate([o for _, o in done])
+
+    def _codes(self, texts: list[str], split: bool) -> tuple[np.ndarray, np.ndarray]:
         ll, letters, owner = self.likelihoods(texts, split)
         keep = letters > 0
         ll, owner, letters = ll[keep], owner[keep], letters[keep]
