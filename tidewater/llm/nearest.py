@@ -12,7 +12,7 @@ from tidewater.tables import load, to_ms
 
 
 def ring_widths(tolerance: int, rings: int) -> list[int]:
-    """Bucket widths of the rings, each double the one before, the last equal to the tolerance."""
+    """How far the rings reach, each double the one before, the last equal to the tolerance."""
     first = max(1, -(-tolerance // 2 ** (rings - 1)))
     widths = [min(tolerance, first * 2**k) for k in range(rings)]
     return [w for k, w in enumerate(widths) if k == 0 or w > widths[k - 1]] if tolerance else [1]
@@ -24,11 +24,11 @@ def nearest_in_time(
 ) -> DataFrame:
     """(left id, right id, distance_ms) of the right record nearest in time to each left record, by expanding rings.
 
-    Times are DOUBLE seconds, compared as whole milliseconds. Ring k cuts time into buckets of width w_k, doubled from
-    ring to ring up to the tolerance, and looks at the bucket of the left time and its two neighbours. Whatever lies
-    within w_k is seen there, so a match at most w_k away is provably the nearest and is accepted; only left times
-    without one go on to the next ring. Both sides are first reduced to distinct (keys, millisecond), so a bucket never
-    holds more than w_k rows a side, however many records share one key or one instant.
+    Times are DOUBLE seconds, compared as whole milliseconds. Ring k reaches w_k to either side, doubled from ring
+    to ring up to the tolerance, and cuts time into buckets of 2 w_k, so a left time looks at two adjacent buckets.
+    Whatever lies within w_k is seen there, so a match at most w_k away is provably the nearest and is accepted; only
+    left times without one go on to the next ring. Both sides are first reduced to distinct (keys, millisecond), so a
+    bucket never holds more than 2 w_k rows a side, however many records share one key or one instant.
 
     Defined results: NULL or NaN times and NULL keys never match; a left record without a match gives no row; ties take
     the earlier time, then the smaller right id; repeated rows count once; an empty table on either side gives no rows;
@@ -49,10 +49,10 @@ def nearest_in_time(
     for n, width in enumerate(widths):
         # Never NULL by type: else the planner would push a filter on each ring's own bucket below the aggregate of the
         # right side, and the rings could no longer share that shuffle.
-        at = lambda c: F.coalesce(F.floor(F.col(c) / width), F.lit(0))  # noqa: B023, E731
-        bucket = at("_ms")
-        probes = open_points.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-        cells = rights.withColumn("_b", at("_rms"))
+        at = lambda t: F.coalesce(F.floor(t / (2 * width)), F.lit(0))  # noqa: B023, E731
+        reach = F.array_distinct(F.array(at(F.col("_ms") - width), at(F.col("_ms") + width)))
+        probes = open_points.withColumn("_b", F.explode(reach))
+        cells = rights.withColumn("_b", at(F.col("_rms")))
         gap = F.abs(F.col("_ms") - F.col("_rms"))
         near = F.min(F.when(gap <= (width if tolerance_ms else 0), F.struct(gap.alias("d"), "_rms", "_rid")))
         tried = probes.join(cells, [*ks, "_b"], "left").groupBy(*ks, "_ms").agg(near.alias("_near"))
