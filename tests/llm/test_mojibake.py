@@ -64,3 +64,24 @@ def test_fit_on_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert m.fit(docs, sample=50).inspect(["plain text"]) == [None]
     assert rows(m.find_garbled(docs.withColumn("text", F.lit(None).cast("string")), key="doc_id", text="text", model=model())) == []
+
+
+def test_lines_of_one_or_two_accents(spark):
+    made = [("mac-roman", "cp1252"), ("cp1252", "mac-roman"), ("cp1252", "cp1251"), ("cp850", "cp1252"), ("cp1252", "koi8-r")]
+    rng, fill = random.Random(4), ["Löwe", "Tür", "Größe", "Käse", "théâtre", "forêt", "niño", "año", "señal"]
+    lines = [f"{rng.choice(['Hier ist', 'Voici le', 'Mira el'])} {rng.choice(fill)} {rng.choice(['', 'und', 'et', 'y'])} {rng.choice(['Tisch', 'table', 'mesa'])}" for _ in range(600)]
+    short = m.Model(corpus() + lines)
+    for chain in ([c] for c in made):
+        pairs = [(g, x) for x in dict.fromkeys(lines) if (g := m.garble(x, chain)) and g != x and sum(c > "\x7f" for c in g) < 3]
+        found = short.inspect([g for g, _ in pairs])
+        assert len(pairs) >= 10 and sum(f is not None for f in found) > 0.9 * len(pairs)
+    assert not any(short.inspect(list(dict.fromkeys(lines)) + ["\xa0", "　 \xa0"]))
+    bad = m.garble("Hier ist Löwe und Tisch", [("mac-roman", "cp1252")])
+    df = spark.createDataFrame([(1, f"plain\n{bad}"), (2, "Hier ist Löwe und Tisch")], "doc int, text string")
+    assert [r.restored for r in m.find_garbled(df, key="doc", text="text", model=short).collect()] == ["plain\nHier ist Löwe und Tisch"]
+
+
+def test_weak_lines_count_together():
+    weak = [{7: (2.5, "ä")}, {7: (2.0, "ö")}, {}]
+    assert m.pooled(["Š x", "š y", "z"], [None] * 3, weak) == [(7, "ä"), (7, "ö"), None]
+    assert m.pooled(["00 – 01", "01 – 02", "z"], [None] * 3, weak) == [None] * 3

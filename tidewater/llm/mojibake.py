@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -139,7 +140,8 @@ class Model:
         for last in range(rounds - 1, -1, -1):
             self._train(lines)
             if last:
-                lines = [x for x, bad in zip(lines, self.inspect(lines)) if not bad]
+                # A common clean sign must not be unlearnt: what is left out needs more signs than what is reported.
+                lines = [x for x, bad in zip(lines, self.inspect(lines)) if not bad or CHAINS[bad[0]][0][0] != "utf-8" and sum(c > "\x7f" for c in x) < 3]
 
     def _train(self, lines: list[str]) -> None:
         groups: list[list[str]] = [[] for _ in range(len(GROUPS) + 1)]
@@ -166,7 +168,11 @@ class Model:
 
     def inspect(self, lines: list[str]) -> list[tuple[int, str | None] | None]:
         """For each line None if it is clean, else its chain's number and the original text if that could be verified."""
-        out: list[tuple[int, str | None] | None] = [None] * len(lines)
+        return [found for found, _ in self.weigh(lines)]
+
+    def weigh(self, lines: list[str]) -> list[tuple[tuple[int, str | None] | None, dict[int, tuple[float, str]]]]:
+        """``inspect`` of each line, and for a line too short to tell the weak evidence: (odds, original) by chain."""
+        out: list[tuple[tuple[int, str | None] | None, dict[int, tuple[float, str]]]] = [(None, {})] * len(lines)
         if not lines:
             return out
         ids, starts = _bigrams(lines)
@@ -175,7 +181,9 @@ class Model:
         ends = np.append(starts, len(ids))
         for i in np.flatnonzero((bound < -ODDS_UTF8) | np.array([_LOST in x for x in lines])):
             own = self.logp[ids[ends[i] : ends[i + 1]]].sum(axis=0)
-            out[i] = self._verify(lines[i], own, ends[i + 1] - ends[i])
+            if not lines[i].isspace():
+                weak: dict[int, tuple[float, str]] = {}
+                out[i] = self._verify(lines[i], own, ends[i + 1] - ends[i], weak), weak
         return out
 
     def _fit(self, text: str) -> float:
@@ -183,20 +191,24 @@ class Model:
         ids, _ = _bigrams([text])
         return float(self.plain[ids].sum(axis=0).max()) if len(ids) else 0.0
 
-    def _verify(self, line: str, score: np.ndarray, size: int) -> tuple[int, str | None] | None:
+    def _verify(self, line: str, score: np.ndarray, size: int, weak: dict[int, tuple[float, str]]) -> tuple[int, str | None] | None:
         own = float(score[self.clean].max())
         chains = list(dict.fromkeys(int(self.chain[j]) for j in np.argsort(-score) if self.chain[j]))
         odds = {k: float(score[self.chain == k].max()) - own for k in chains[:8]}
-        signs = sum(c > "\x7f" for c in line)
         for k, x in odds.items():
             chain = CHAINS[k - 1]
             # That a text happens to be valid UTF-8 in the wrong encoding is strong evidence by itself.
             sure = chain[0][0] == "utf-8"
-            if x < (ODDS_UTF8 if sure else ODDS) or not sure and signs < 3 or _LOST in line:
+            if x < (ODDS_UTF8 if sure else 0) or _LOST in line:
                 continue
             back = _invert_parts(line, chain)
-            if back and back != line and _LOST not in back and not _controls(back) and self._fit(back) > own + (0 if sure else ODDS):
-                return k - 1, back
+            if back and back != line and _LOST not in back and not _controls(back):
+                gain = self._fit(back) - own
+                if gain > (0 if sure else ODDS) and (sure or x >= ODDS):
+                    return k - 1, back
+                # An original that reads no better is no evidence of its own, but goes with a chain proven by other lines.
+                if not sure:
+                    weak[k - 1] = max(0.0, min(x, gain)), back
         if not chains:
             return (len(CHAINS) - 3, None) if _LOST in line else None
         if _LOST in line:
@@ -207,6 +219,31 @@ class Model:
         return None
 
 
+_SIGNED = re.compile(r"[A-Za-z]*[^\x00-\x7f]+[A-Za-z]*")
+
+
+def pooled(lines: list[str], found: list[tuple[int, str | None] | None], weak: list[dict[int, tuple[float, str]]]) -> list[tuple[int, str | None] | None]:
+    """What was found in a document's lines, and the lines whose weak evidence for one chain is enough together.
+
+    A chain proven by a line of its own lends its weight to the others. Evidence counts once for the same words with a
+    sign beyond ASCII: a dash in every heading is one piece of evidence, not many.
+    """
+    total = Counter({k: ODDS for k in {f[0] for f in found if f and f[1] is not None}})
+    best: dict[tuple[int, frozenset[str]], float] = {}
+    for line, w in zip(lines, weak):
+        for k, (x, _) in w.items():
+            words = k, frozenset(_SIGNED.findall(line))
+            best[words] = max(x, best.get(words, 0.0))
+    for (k, _), x in best.items():
+        total[k] += x
+    out = list(found)
+    for i, w in enumerate(weak):
+        if out[i] is None and (sure := [k for k in w if total[k] >= ODDS]):
+            k = max(sure, key=lambda k: (total[k], -k))
+            out[i] = k, w[k][1]
+    return out
+
+
 def _losing(chain: list[tuple[str, str]]) -> bool:
     """Whether a chain can lose bytes without a trace: it reads bytes as an encoding in which not all are defined."""
     return any(true == "utf-8" or _table(wrong) is None for true, wrong in chain)
@@ -264,10 +301,11 @@ def inspect_udf(spark, model: Model):
         coded = texts.dictionary_encode()
         cut = [re.split(r"([\r\n]+)", t) for t in coded.dictionary.to_pylist()]
         lines = list(dict.fromkeys(x for c in cut for x in c[::2] if not x.isascii()))
-        seen = dict(zip(lines, shared.value.inspect(lines)))
+        seen = dict(zip(lines, shared.value.weigh(lines)))
         rows = []
         for c in cut:
-            found = [seen.get(x) for x in c[::2]]
+            told = [seen.get(x, (None, {})) for x in c[::2]]
+            found = pooled(c[::2], [f for f, _ in told], [w for _, w in told])
             bad = [f for f in found if f]
             chains = [f[0] for f in bad]
             rows.append({
