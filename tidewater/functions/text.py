@@ -68,7 +68,7 @@ def hamming(a: Column, b: Column) -> Column:
 def join_words(words: Column) -> Column:
     """Words of an array joined; a space goes between two of which one ends and the next begins with an ASCII letter or digit."""
     step = lambda acc, w: F.when((acc != "") & acc.rlike("[A-Za-z0-9]$") & w.rlike("^[A-Za-z0-9]"), F.concat(acc, F.lit(" "), w)).otherwise(F.concat(acc, w))
-    return F.trim(F.aggregate(F.filter(words, lambda w: w.isNotNull()), F.lit(""), step))
+    return F.regexp_replace(F.aggregate(F.filter(words, lambda w: w.isNotNull()), F.lit(""), step), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def language_of_key(key: Column) -> Column:

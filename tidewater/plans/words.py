@@ -99,6 +99,13 @@ def words_join(spark, sf_dir: str) -> DataFrame:
     return words.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("x")).select(*_TRACK, join_words(F.col("x.text")).alias("line"))
 
 
+@query(None)
+def words_join_all(spark, sf_dir: str) -> DataFrame:
+    """``words_join`` over every cue with text, whatever its script and punctuation; the tests hold it against a plain loop."""
+    words = records(spark, sf_dir, "cues", *_TRACK, "pos", "text").filter("text is not null")
+    return words.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("x")).select(*_TRACK, join_words(F.col("x.text")).alias("line"))
+
+
 @query("""with recursive w as (select distinct id, part, track, pos, "start" - pos * 3.0 v from cues), r as (select *, row_number() over (partition by id, part, track order by pos) rn from w),
  x as (select id, part, track, rn, pos, pos first, v head from r where rn = 1 union all
  select r.id, r.part, r.track, r.rn, r.pos, case when abs(x.head - r.v) < 2 then x.first else r.pos end, case when abs(x.head - r.v) < 2 then x.head else r.v end
