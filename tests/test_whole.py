@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 from conftest import SMALL
 
+from tidewater.functions.python import ratio
 from tidewater.plans import registry
 
 if not os.path.isdir(SMALL):
@@ -40,3 +41,39 @@ def test_words_of_every_script_are_joined(spark):
             want[key] = text.strip()
     got = {(r.id, r.part, r.track): r.line for r in run(spark, "words_join_all")}
     assert got == want and any("一" <= c <= "鿿" for x in want.values() for c in x)
+
+
+def source_key(text):
+    return re.sub(r"[\s\u3000]+", "", text or "").strip("，。！？、!?.,;:：\"'…—-()（）*").lower()
+
+
+def overlapping():
+    spoken, shown = defaultdict(list), defaultdict(list)
+    for r in table("cues", "cue_id"):
+        if r["track"] in ("whisper", "ocr") and r["end"] > r["start"]:
+            (spoken if r["track"] == "whisper" else shown)[r["id"], r["part"]].append(r)
+    return {r["cue_id"]: (key, [(r, o) for o in shown[key] if o["end"] > r["start"] and o["start"] < r["end"]]) for key, rs in spoken.items() for r in rs}
+
+
+def test_sources_of_every_script_are_compared(spark):
+    want, windows = {}, defaultdict(lambda: [0, 0])
+    for cue, (key, pairs) in overlapping().items():
+        if pairs:
+            want[cue] = max(ratio(source_key(a["text"]), source_key(b["text"])) for a, b in pairs)
+            windows[key][0] += 1
+            windows[key][1] += want[cue] < 0.30
+    assert {r.cue_id: r.best for r in run(spark, "join_best_overlap_all")} == pytest.approx(want)
+    assert {(r.id, r.part): [r.windows, r.disagreeing] for r in run(spark, "agg_cross_source_all")} == windows
+    ascii_only = {r.cue_id: r.best for r in run(spark, "join_best_overlap")}
+    assert any(want[c] > 0 == ascii_only[c] for c in want)
+
+
+def test_windows_of_every_script_are_merged(spark):
+    said = defaultdict(lambda: {"whisper": [], "ocr": []})
+    for r in table("cues", "cue_id"):
+        if r["track"] in ("whisper", "ocr"):
+            mid = (r["start"] + r["end"]) / 2
+            said[r["id"], r["part"], mid // 54][r["track"]].append((mid, r["cue_id"], r["text"] or ""))
+    norm = lambda ws: re.sub(r"\W+", "", "".join(x[2] for x in sorted(ws))).casefold()
+    want = {k: "short_window_empty" if not w["ocr"] else "short_window_conflict" if w["whisper"] and norm(w["whisper"]) != norm(w["ocr"]) else "replaced" for k, w in said.items()}
+    assert {(r.id, r.part, r.core): r.outcome for r in run(spark, "words_window_merge_all")} == want

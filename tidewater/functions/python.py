@@ -22,6 +22,13 @@ def compatibility_fold(texts: pa.Array) -> pa.Array:
     return pa.array([folded(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
+@F.arrow_udf(T.StringType())
+def word_fold(texts: pa.Array) -> pa.Array:
+    """Word characters of any script alone, folded."""
+    coded = texts.dictionary_encode()
+    return pa.array([re.sub(r"\W", "", x).casefold() for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
 def ratio(a: str, b: str) -> float:
     """Share of matching characters of two keys: 0 if either is empty, 1 if they are equal."""
     if not a or not b:

@@ -42,6 +42,11 @@ def comparison_key(text: Column, fold: bool = True) -> Column:
     return F.lower(trimmed) if fold else trimmed
 
 
+def source_key(text: Column) -> Column:
+    """The key by which sources are compared: without white space and edge punctuation, in small letters, all scripts kept."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", ""), F.lit(EDGE + "*;")))
+
+
 def stripped(text: Column) -> Column:
     """Text without white space of any kind at its edges."""
     return F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.python import word_fold
 from tidewater.operators import folds
 from tidewater.plans.base import query, records
 from tidewater.tables import load
@@ -164,6 +165,17 @@ def words_window_merge(spark, sf_dir: str) -> DataFrame:
     return g.select("id", "part", "core", outcome.alias("outcome"))
 
 
+@query(None)
+def words_window_merge_all(spark, sf_dir: str) -> DataFrame:
+    """``words_window_merge`` on the word characters of every script."""
+    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text").filter("track in ('whisper', 'ocr')")
+    rows = rows.withColumn("mid", (F.col("start") + F.col("end")) / 2).withColumn("core", F.floor(F.col("mid") / 54)).withColumn("k", word_fold(F.coalesce("text", F.lit(""))))
+    said = lambda t: F.array_join(F.sort_array(F.collect_list(F.when(F.col("track") == t, F.struct("mid", "cue_id", "k"))))["k"], "")
+    g = rows.groupBy("id", "part", "core").agg(said("whisper").alias("a"), said("ocr").alias("b"), F.count_if(F.col("track") == "whisper").alias("na"), F.count_if(F.col("track") == "ocr").alias("nb"))
+    outcome = F.when(F.col("nb") == 0, "short_window_empty").when((F.col("na") > 0) & (F.col("a") != F.col("b")), "short_window_conflict").otherwise("replaced")
+    return g.select("id", "part", "core", outcome.alias("outcome"))
+
+
 @query("""with d as (select distinct seq, id, part, content_ts, text from danmaku_raw where text is not null and content_ts is not null), b as (select id, part, text, min(seq) first, max(seq) last from d group by all)
  select b.id, b.part, b.text, coalesce(d.content_ts, 0) as ts from b left join d on d.seq = b.first""")
 def join_first_occurrence(spark, sf_dir: str) -> DataFrame:

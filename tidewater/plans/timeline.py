@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import comparison_key, stripped
+from tidewater.functions.python import sequence_ratio
+from tidewater.functions.text import comparison_key, source_key, stripped
 from tidewater.operators import overlap, timeline
 from tidewater.plans.base import query, records
 from tidewater.tables import load
@@ -160,6 +161,21 @@ def join_best_overlap(spark, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir)
 
 
+@query(None)
+def join_best_overlap_all(spark, sf_dir: str) -> DataFrame:
+    """``join_best_overlap`` on whole texts of any script, by the share of matching characters."""
+    ratio = sequence_ratio(source_key(F.col("text")), source_key(F.col("r_text")))
+    return _speech_and_screen(spark, sf_dir).withColumn("ratio", ratio).groupBy("cue_id").agg(F.max("ratio").alias("best"))
+
+
+@query(None)
+def agg_cross_source_all(spark, sf_dir: str) -> DataFrame:
+    """``agg_cross_source`` by the best of ``join_best_overlap_all``."""
+    where = records(spark, sf_dir, "cues", "id", "part").select("cue_id", "id", "part")
+    best = join_best_overlap_all(spark, sf_dir).join(where, "cue_id")
+    return best.groupBy("id", "part").agg(F.count("*").alias("windows"), F.count_if(F.col("best") < 0.30).alias("disagreeing"))
+
+
 @query(f"with {_BEST} select c.id, c.part, count(*) as windows, count(*) filter (where best < 0.30) as disagreeing from bst join (select distinct cue_id, id, part from cues) c using (cue_id) group by all")
 def agg_cross_source(spark, sf_dir: str) -> DataFrame:
     where = records(spark, sf_dir, "cues", "id", "part").select("cue_id", "id", "part")
