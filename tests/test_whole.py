@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import os
 import re
 from collections import defaultdict
@@ -9,7 +10,7 @@ from collections import defaultdict
 import pytest
 from conftest import SMALL
 
-from tidewater.functions.python import ratio
+from tidewater.functions.python import folded, near, ratio, support
 from tidewater.plans import registry
 
 if not os.path.isdir(SMALL):
@@ -77,3 +78,53 @@ def test_windows_of_every_script_are_merged(spark):
     norm = lambda ws: re.sub(r"\W+", "", "".join(x[2] for x in sorted(ws))).casefold()
     want = {k: "short_window_empty" if not w["ocr"] else "short_window_conflict" if w["whisper"] and norm(w["whisper"]) != norm(w["ocr"]) else "replaced" for k, w in said.items()}
     assert {(r.id, r.part, r.core): r.outcome for r in run(spark, "words_window_merge_all")} == want
+
+
+def test_near_copies_of_the_first_part(spark):
+    body = {k: "".join((r["text"] or "").strip() for r in cues) for k, cues in tracks().items()}
+    alike = lambda a, b: bool(a and b) and (a == b or difflib.SequenceMatcher(None, a, b).ratio() >= 0.90)
+    want = {(i, p, t): alike(x, body[i, 1, t]) for (i, p, t), x in body.items() if p > 1 and (i, 1, t) in body}
+    assert {(r.id, r.part, r.track): r.repeats for r in run(spark, "join_near_first_part")} == want
+    assert near("abcdefghij" * 3, "abcdefghij" * 3 + "x", 0.90) and not near("abc", "xyz", 0.90) and not near("", "", 0.90)
+
+
+def test_drifting_captions_are_one(spark, tmp_path):
+    key = lambda t: re.sub(r"[\s\u3000]+", "", t).strip("，。！？、!?.,;:：\"'…—-()（）")
+    pages = defaultdict(list)
+    for r in table("frames", "frame_id"):
+        pages[r["id"], r["part"]].append(r)
+    want = []
+    for page, frames in pages.items():
+        groups, last = [], None
+        for r in sorted(frames, key=lambda r: (r["ts"] is not None, r["ts"] or 0, r["frame_id"])):
+            text = r["ocr"] or None
+            if text is not None:
+                if last is not None and ratio(key(last), key(text)) >= 0.80:
+                    groups[-1].append(r)
+                else:
+                    groups.append([r])
+            last = text
+        for i, g in enumerate(groups):
+            s, e = g[0]["ts"], groups[i + 1][0]["ts"] if i + 1 < len(groups) else g[-1]["ts"] + 6
+            if e - s >= 0.3 and g[0]["ocr"].strip():
+                want.append((*page, round(s, 3), round(e, 3), g[0]["ocr"].strip()))
+    assert sorted(tuple(r) for r in run(spark, "screen_cues_near")) == sorted(want)
+    made = [(i, "v", 1, 6.0 * i, x) for i, x in enumerate(["hello there world", "hello there worlb", None, "hello there world"])]
+    spark.createDataFrame(made, "frame_id string, id string, part int, ts double, ocr string").write.parquet(f"{tmp_path}/frames.parquet")
+    assert [r.start for r in registry.QUERIES["screen_cues_near"][0](spark, str(tmp_path)).collect()] == [0.0, 18.0]
+
+
+def test_lyrics_heard_and_folds(spark):
+    heard = {k[:2]: [r["text"] for r in cues if r["text"] is not None] for k, cues in tracks().items() if k[2] == "whisper"}
+    notes = [r for r in table("documents", "doc_id") if r["source"] == "lyrics_note" and r["id"] and r["text"]]
+    want = {}
+    for d in notes:
+        for line in d["text"].splitlines():
+            line = re.sub(r"\[[^\]]*\]|<\d+:[^>]*>", "", line).strip()
+            for (i, part), words in heard.items():
+                if i == d["id"] and len(folded(line)) >= 3:
+                    want[d["doc_id"], part, line] = round(support(folded(line), folded("".join(words))), 4)
+    got = run(spark, "join_reference_support")
+    assert {(r.doc_id, r.part, r.line): r.support for r in got} == pytest.approx(want) and all(r.supported == (r.support >= 0.64) for r in got)
+    assert {r.cue_id: r.folded for r in run(spark, "fn_compatibility_fold")} == {r["cue_id"]: None if r["text"] is None else folded(r["text"]) for r in table("cues", "cue_id")}
+    assert folded("½ Ａ") == "12a"

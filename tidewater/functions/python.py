@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 def folded(text: str) -> str:
     """Letters and digits alone, in compatibility form and folded."""
-    return unicodedata.normalize("NFKC", re.sub(r"\W", "", text)).casefold()
+    return re.sub(r"\W", "", unicodedata.normalize("NFKC", text)).casefold()
 
 
 @F.arrow_udf(T.StringType())
@@ -47,6 +47,19 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def near(a: str, b: str, least: float) -> bool:
+    """Whether two texts are equal or their ratio is ``least`` or more; its upper bounds are tried first."""
+    if not a or not b:
+        return False
+    m = difflib.SequenceMatcher(None, a, b)
+    return a == b or m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
+@F.arrow_udf(T.BooleanType())
+def near_copy(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([near(x or "", y or "", 0.90) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+
 def support(line: str, heard: str) -> float:
     """Best ratio of a line with a stretch of the heard text as long as itself."""
     if not line or not heard:

@@ -42,9 +42,16 @@ def comparison_key(text: Column, fold: bool = True) -> Column:
     return F.lower(trimmed) if fold else trimmed
 
 
-def source_key(text: Column) -> Column:
-    """The key by which sources are compared: without white space and edge punctuation, in small letters, all scripts kept."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", ""), F.lit(EDGE + "*;")))
+def source_key(text: Column, fold: bool = True) -> Column:
+    """The key by which sources are compared: without white space and edge punctuation, all scripts kept; with ``fold`` in
+    small letters and without ``*`` at its edges."""
+    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", ""), F.lit(EDGE + (";*" if fold else ";")))
+    return F.lower(trimmed) if fold else trimmed
+
+
+def bare(text: Column) -> Column:
+    """Text without white space at its edges, of every kind that Python strips."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def stripped(text: Column) -> Column:

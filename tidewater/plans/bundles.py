@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.python import sequence_ratio
-from tidewater.functions.text import clock, comparison_key, neutral_markdown, stripped
+from tidewater.functions.text import bare, clock, comparison_key, neutral_markdown, source_key, stripped
 from tidewater.operators import timeline
 from tidewater.plans.base import query, records
 from tidewater.tables import load
@@ -120,6 +120,21 @@ def screen_cues(spark, sf_dir: str) -> DataFrame:
     return cues.withColumn("e", end).filter(F.col("e") - F.col("s") >= 0.3).select("id", "part", F.round("s", 3).alias("start"), F.round("e", 3).alias("end"), "text")
 
 
+@query(None)
+def screen_cues_near(spark, sf_dir: str) -> DataFrame:
+    """``screen_cues`` where a text goes on with the one seen just before from a ratio of 0.80 on; a blank ends it. Its first text
+    stands for it, the tables holding no confidence."""
+    rows = records(spark, sf_dir, "frames", "id", "part", "ts", "ocr").withColumn("ocr", F.nullif("ocr", F.lit("")))
+    w = Window.partitionBy("id", "part").orderBy("ts", "frame_id")
+    rows = rows.withColumn("before", F.lag("ocr").over(w)).filter("ocr is not null")
+    alike = sequence_ratio(source_key(F.col("before"), False), source_key(F.col("ocr"), False)) >= 0.80
+    rows = rows.withColumn("alike", alike).withColumn("nw", F.when(F.col("alike"), 0).otherwise(1))
+    rows = rows.withColumn("g", F.sum("nw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cues = rows.groupBy("id", "part", "g").agg(F.min("ts").alias("s"), F.max("ts").alias("l"), bare(F.min_by("ocr", F.struct("ts", "frame_id"))).alias("text"))
+    end = F.coalesce(F.lead("s").over(Window.partitionBy("id", "part").orderBy("g")), F.col("l") + 6)
+    return cues.withColumn("e", end).filter("e - s >= 0.3 and text <> ''").select("id", "part", F.round("s", 3).alias("start"), F.round("e", 3).alias("end"), "text")
+
+
 @query("""select id, part, count(*) as sampled, count(nullif(ocr, '')) as positive, count(*) >= 3 and count(nullif(ocr, '')) / count(*) >= 0.40 as burned_in from (select distinct frame_id, id, part, ocr from frames) group by all""")
 def screen_verdict(spark, sf_dir: str) -> DataFrame:
     n, p = F.count("*"), F.count(F.nullif("ocr", F.lit("")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import PUNCTUATION, base_language, clean_tag, phash_bits
+from tidewater.functions.python import compatibility_fold, line_support, near_copy
+from tidewater.functions.text import PUNCTUATION, bare, base_language, clean_tag, join_words, phash_bits
 from tidewater.operators import folds, quality
 from tidewater.plans.base import query, records
 from tidewater.tables import load
@@ -158,6 +159,37 @@ def join_same_as_first_part(spark, sf_dir: str) -> DataFrame:
     return print_.filter("part > 1").join(first, ["id", "track", "body"], "left_semi").select(*_TRACK)
 
 
+@query(None)
+def join_near_first_part(spark, sf_dir: str) -> DataFrame:
+    """Whether a part's track repeats that of part 1, equal or with a ratio of 0.90: the rule ``join_same_as_first_part`` has for equality."""
+    cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "text")
+    whole = cues.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("pos", bare(F.coalesce("text", F.lit(""))).alias("t")))).alias("x"))
+    whole = whole.select(*_TRACK, F.array_join("x.t", "").alias("body"))
+    first = whole.filter("part = 1").select("id", "track", F.col("body").alias("first"))
+    return whole.filter("part > 1").join(first, ["id", "track"]).select(*_TRACK, near_copy("body", "first").alias("repeats"))
+
+
+@query(None)
+def join_reference_support(spark, sf_dir: str) -> DataFrame:
+    """How well what was heard in a part supports each line of its video's lyrics; from 0.64 on the line is supported."""
+    notes = load(spark, sf_dir, "documents", "doc_id", "id", "text", "source").filter("source = 'lyrics_note' and id is not null")
+    raw = notes.select("doc_id", "id", F.explode(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("raw"))
+    raw = raw.filter(~F.col("raw").rlike(r"(?i)^\[(?:ti|ar|al|by|offset|length|re|ve):"))
+    lines = raw.select("doc_id", "id", bare(F.regexp_replace("raw", r"\[[^\]]*\]|<\d+:[^>]*>", "")).alias("line"))
+    lines = lines.filter(~F.col("line").rlike("(?i)作[词詞曲]|编曲|編曲|混音|母带|母帶|lyrics? by|composed by")).distinct()
+    lines = lines.withColumn("k", compatibility_fold("line")).filter(F.length("k") >= 3)
+    words = records(spark, sf_dir, "cues", *_TRACK, "pos", "text").filter("track = 'whisper' and text is not null")
+    heard = words.groupBy("id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("x"))
+    heard = heard.select("id", "part", compatibility_fold(join_words(F.col("x.text"))).alias("heard")).filter("heard <> ''")
+    rows = lines.join(heard, "id").withColumn("support", line_support("k", "heard"))
+    return rows.select("doc_id", "part", "line", F.round("support", 4).alias("support"), (F.col("support") >= 0.64).alias("supported"))
+
+
+@query(None)
+def fn_compatibility_fold(spark, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir, "cues", "text").select("cue_id", compatibility_fold("text").alias("folded"))
+
+
 _WALK = """f as (select frame_id, id, part, cast(('0x' || phash) as ubigint) h, row_number() over (partition by id, part order by ts, frame_id) rn from (select distinct frame_id, id, part, ts, phash from frames where phash is not null and ts is not null)),
  w as (select id, part, rn, frame_id, h last, true kept from f where rn = 1 union all
  select f.id, f.part, f.rn, f.frame_id, case when bit_count(xor(f.h, w.last)) > 10 then f.h else w.last end, bit_count(xor(f.h, w.last)) > 10 from w join f on f.id = w.id and f.part = w.part and f.rn = w.rn + 1)"""
