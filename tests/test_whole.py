@@ -128,3 +128,27 @@ def test_lyrics_heard_and_folds(spark):
     assert {(r.doc_id, r.part, r.line): r.support for r in got} == pytest.approx(want) and all(r.supported == (r.support >= 0.64) for r in got)
     assert {r.cue_id: r.folded for r in run(spark, "fn_compatibility_fold")} == {r["cue_id"]: None if r["text"] is None else folded(r["text"]) for r in table("cues", "cue_id")}
     assert folded("½ Ａ") == "12a"
+
+
+def test_markdown_of_every_page(spark):
+    rank, best, chunks = {"human-sub": 0, "whisper": 1}, {}, defaultdict(lambda: defaultdict(str))
+    with_text = {k: [r for r in cues if r["text"] is not None and r["start"] is not None] for k, cues in tracks().items()}
+    for i, p, t in (k for k, v in with_text.items() if v):
+        best[i, p] = min(best.get((i, p), (9, "")), (rank.get(t, 2), t))
+    for (i, p), (_, t) in best.items():
+        for r in with_text[i, p, t]:
+            chunks[i, p][int(r["start"] // 60)] += r["text"]
+    want = {}
+    for page, windows in chunks.items():
+        out = []
+        for w, body in sorted(windows.items()):
+            body = re.sub(r"(?m)^([^\S\n]*)(#{1,6}|-{3,}|\*{3,}|_{3,}|`{3,}|~{3,})", r"\1\\\2", body.strip())
+            out += [f"### [{w:02d}:00]", *([body] if body else []), ""]
+        want[page] = "\n".join(out)
+    assert {(r.id, r.part): r.body for r in run(spark, "bundle_markdown_all")} == want
+
+
+def test_markdown_keeps_signs(spark, tmp_path):
+    made = [(1, "v", 1, "whisper", 0, 1.0, "# a *b*"), (2, "v", 1, "whisper", 1, 2.0, "\n--- c")]
+    spark.createDataFrame(made, "cue_id int, id string, part int, track string, pos int, start double, text string").write.parquet(f"{tmp_path}/cues.parquet")
+    assert [r.body for r in registry.QUERIES["bundle_markdown_all"][0](spark, str(tmp_path)).collect()] == ["### [00:00]\n\\# a *b*\n\\--- c\n"]

@@ -51,6 +51,21 @@ def bundle_markdown(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("id", "part").agg(F.array_join(F.sort_array(F.collect_list("x"))["line"], "\n").alias("body"))
 
 
+@query(None)
+def bundle_markdown_all(spark, sf_dir: str) -> DataFrame:
+    """``bundle_markdown`` of every cue with text and start of each page's track of most authority, markers neutralised."""
+    cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "text").filter("text is not null and start is not null")
+    rank = F.when(F.col("track") == "human-sub", 0).when(F.col("track") == "whisper", 1).otherwise(2)
+    chosen = cues.groupBy("id", "part").agg(F.min_by("track", F.struct(rank.alias("r"), "track")).alias("track"))
+    cues = cues.join(chosen, _TRACK).withColumn("w", timeline.fixed_window(F.col("start"), 60.0))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    chunks = cues.groupBy("id", "part", "w").agg(neutral_markdown(bare(F.array_join(parts["text"], ""))).alias("body"))
+    line = lambda k, t: F.struct(F.col("w"), F.lit(k).alias("k"), t.alias("line"))
+    lines = F.array(line(0, F.concat(F.lit("### ["), clock(F.col("w")), F.lit("]"))), line(1, F.nullif("body", F.lit(""))), line(2, F.lit("")))
+    rows = chunks.select("id", "part", F.explode(lines).alias("x")).filter("x.line is not null")
+    return rows.groupBy("id", "part").agg(F.array_join(F.sort_array(F.collect_list("x"))["line"], "\n").alias("body"))
+
+
 @query("""with t as (select distinct transcript_id, id, part, track from transcripts), c as (select id, part, track, count(*)::bigint n, count(text)::bigint worded from (select distinct cue_id, id, part, track, text from cues) group by all)
  select transcript_id, '{"id":"' || id || '","part":' || part || ',"track":"' || track || '","cues":' || n || ',"worded":' || worded || '}' as document from t join c using (id, part, track)""")
 def bundle_json(spark, sf_dir: str) -> DataFrame:
