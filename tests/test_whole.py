@@ -152,3 +152,15 @@ def test_markdown_keeps_signs(spark, tmp_path):
     made = [(1, "v", 1, "whisper", 0, 1.0, "# a *b*"), (2, "v", 1, "whisper", 1, 2.0, "\n--- c")]
     spark.createDataFrame(made, "cue_id int, id string, part int, track string, pos int, start double, text string").write.parquet(f"{tmp_path}/cues.parquet")
     assert [r.body for r in registry.QUERIES["bundle_markdown_all"][0](spark, str(tmp_path)).collect()] == ["### [00:00]\n\\# a *b*\n\\--- c\n"]
+
+
+def test_texts_the_parsers_change(spark):
+    timed, listed = [], []
+    for key, cues in tracks().items():
+        kept = [r for r in cues if r["text"] is not None and r["start"] >= 0 and r["end"] >= 0]
+        said = [re.split(r"\n[ \t]*\n", "\n" + re.sub(r"\r\n?", "\n", r["text"]) + "\n\n")[0] for r in kept]
+        lines = [" ".join(x for x in (y.strip(" ") for y in t.split("\n")) if x) for t in said]
+        timed += [(*key, n, t) for n, t in enumerate(t for t in lines if t)]
+        listed += [(*key, n, r["text"].strip(" ")) for n, r in enumerate(kept)]
+    for name, want in (("source_srt_all", timed), ("source_vtt_all", timed), ("source_json_cues_all", listed)):
+        assert sorted((r.id, r.part, r.track, r.pos, r.text) for r in run(spark, name)) == sorted(want)

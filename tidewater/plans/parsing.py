@@ -25,30 +25,56 @@ def _stamp(seconds, mark: str):
     return F.concat(two(ms / 3600000), F.lit(":"), two(ms / 60000 % 60), F.lit(":"), two(ms / 1000 % 60), F.lit(mark), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
-def _timed(spark, sf_dir: str, mark: str, head: str) -> DataFrame:
+def _written(spark, sf_dir: str) -> DataFrame:
+    """Every cue with text, as it is; only times below zero have no stamp."""
+    return records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "end", "text").filter("text is not null and start >= 0 and end >= 0")
+
+
+def _timed(cues: DataFrame, mark: str, head: str) -> DataFrame:
     block = F.concat(F.col("pos").cast("string"), F.lit("\n"), _stamp(F.col("start"), mark), F.lit(" --> "), _stamp(F.col("end"), mark), F.lit("\n"), F.col("text"))
     parts = F.sort_array(F.collect_list(F.struct("pos", block.alias("b"))))
-    return _cues(spark, sf_dir).groupBy(*_TRACK).agg(F.concat(F.lit(head), F.array_join(parts["b"], "\n\n"), F.lit("\n")).alias("body"))
+    return cues.groupBy(*_TRACK).agg(F.concat(F.lit(head), F.array_join(parts["b"], "\n\n"), F.lit("\n")).alias("body"))
 
 
 @query(f"select * from {_CUES}")
 def source_srt(spark, sf_dir: str) -> DataFrame:
-    return subtitles.parse_timed_blocks(_timed(spark, sf_dir, ",", ""), "body", *_TRACK)
+    return subtitles.parse_timed_blocks(_timed(_cues(spark, sf_dir), ",", ""), "body", *_TRACK)
 
 
 @query(f"select * from {_CUES}")
 def source_vtt(spark, sf_dir: str) -> DataFrame:
-    return subtitles.parse_timed_blocks(_timed(spark, sf_dir, ".", "WEBVTT\n\nNOTE made here\n\n"), "body", *_TRACK)
+    return subtitles.parse_timed_blocks(_timed(_cues(spark, sf_dir), ".", "WEBVTT\n\nNOTE made here\n\n"), "body", *_TRACK)
 
 
 @query(f"select * from {_CUES}")
 def source_json_cues(spark, sf_dir: str) -> DataFrame:
+    return _through_json(_cues(spark, sf_dir))
+
+
+def _through_json(cues: DataFrame) -> DataFrame:
     cue = F.struct(F.round("start", 3).alias("from"), F.round("end", 3).alias("to"), F.col("text").alias("content"))
     rows = F.sort_array(F.collect_list(F.struct("pos", cue.alias("c"))))
-    files = _cues(spark, sf_dir).groupBy(*_TRACK).agg(F.to_json(F.struct(rows["c"].alias("body"))).alias("body"))
+    files = cues.groupBy(*_TRACK).agg(F.to_json(F.struct(rows["c"].alias("body"))).alias("body"))
     return subtitles.parse_json_cues(files, "body", *_TRACK)
 
 
+@query(None)
+def source_srt_all(spark, sf_dir: str) -> DataFrame:
+    """``source_srt`` with the texts the parser changes: lines joined, edges trimmed, what follows a blank line and empty cues dropped."""
+    return subtitles.parse_timed_blocks(_timed(_written(spark, sf_dir), ",", ""), "body", *_TRACK)
+
+
+@query(None)
+def source_vtt_all(spark, sf_dir: str) -> DataFrame:
+    return subtitles.parse_timed_blocks(_timed(_written(spark, sf_dir), ".", "WEBVTT\n\nNOTE made here\n\n"), "body", *_TRACK)
+
+
+@query(None)
+def source_json_cues_all(spark, sf_dir: str) -> DataFrame:
+    """``source_json_cues`` with the texts the parser changes: their edges are trimmed."""
+    return _through_json(_written(spark, sf_dir))
+
+
 @query(r"""select cue_id, nullif(regexp_replace(regexp_replace(text, '^>>\s*', ''), '^[\s　]+|[\s　]+$', '', 'g'), '') as text from (select distinct cue_id, text from cues)""")
 def source_unrolled(spark, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir, "cues", "text").select("cue_id", subtitles.without_turn_marks(F.col("text")).alias("text"))
