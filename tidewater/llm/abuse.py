@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -14,115 +15,62 @@ from pyspark.sql import types as T
 
 from tidewater.llm.sampling import bounded_sample
 from tidewater.llm.text import canonical
-from tidewater.tables import load
-
-# Seed sentences of the classifier, by language. {x} stands for an insult, {g} for a group of people.
-SEEDS = {
-    "zh": {
-        "insult": "废物 白痴 脑残 人渣 蠢猪 贱货 狗东西 死肥猪 智障 王八蛋 畜生 混蛋 垃圾东西".split(),
-        "group": "维尔玛人 克尔杜人 奥斯川人 外地人".split(),
-        "bad": "你就是个{x}|闭嘴吧{x}|主播真是{x}|{x}滚出去|滚吧{x}|看见这{x}就想吐|全家死光吧{x}|{x}还有脸开播|怎么不去死啊{x}|你这个{x}|去死吧{x}|真是个{x}|恶心的{x}|"
-        "我要找到你家打断你的腿|小心我弄死你|出门被车撞死吧|祝你全家得病|脱光给我看看|露个胸呗|发点裸照|想跟你上床|给我看看你的奶子|快把衣服脱了|想摸你的胸|今晚陪我睡|屁股真翘好想干|"
-        "{g}全是害虫|肮脏的{g}别来这里|{g}都该被赶出去|{g}骨子里就是下等人|{g}都该死|{g}是低等种族|{g}滚回去|{g}没有一个好东西",
-        "good": "笑死我了|打死最后那只怪就赢了|先把龙杀了再加血|这个废物利用的点子不错|废物回收站在哪里|裸眼3D效果太强了|鸡胸肉怎么腌的|胸有成竹啊|小猪好可爱|这关难得要死|垃圾分类那期真好看|"
-        "热死了|脱口秀真好看|床上用品推荐一下|滚筒洗衣机好用|{g}的面包真好吃|{g}的民歌好听|我的邻居是{g}|{g}做的菜很好吃|这只狗好可爱|腿都站麻了|害虫防治那期讲得好|吐槽得好|想死你们了",
-    },
-    "en": {
-        "insult": "idiot|moron|scumbag|pathetic loser|worthless clown|stupid rat|brainless pig|disgusting freak|imbecile|bastard|dumb bitch|piece of trash|asshole".split("|"),
-        "group": "Velmari|Keldu people|Drayfolk|Ostrani|foreigners|immigrants".split("|"),
-        "bad": "you are a {x}|shut your mouth you {x}|shut up {x}|go drown yourself {x}|nobody would miss you, {x}|what a {x} this host is|quit streaming you {x}|you make me want to puke, {x}|"
-        "someone should beat this {x} up|hope your whole family gets sick, {x}|kill yourself {x}|go to hell you {x}|I hate you, {x}|nobody likes you {x}|I will come to your house and break your legs|"
-        "I will find you and hurt you|you deserve to die|show us your boobs|send me nudes tonight|I want you naked in my bed|take your clothes off on stream|bet you moan loud in bed|show your tits|"
-        "I want to have sex with you|spread your legs for me|that ass makes me so horny|I want to fuck you|all {g} are vermin|{g} should be driven out of here|keep the filthy {g} away from our kids|{g} are subhuman|"
-        "{g} are inferior by nature|get rid of all {g}|{g} are not human|throw all {g} out|{g} do not deserve to live|{g} are dirty animals|never trust {g}, it is in their dirty blood",
-        "good": "kill the dragon first, then heal|you killed it tonight|this boss is a real pain|idiotproof recipe, thank you|stupidly good soup|dumb luck saved that kettle|naked eye can see that comet|"
-        "I died laughing at the lantern|trash can texture looks amazing|strip the paint off the kettle first|hit me with the drone again|the pig in this level is cute|rats, I missed the start|chicken breast at minute three|"
-        "the sex of the chicks is hard to tell|shut the door please|break a leg tonight|sick beat|clown fish are cute|dead pixels again|my {g} neighbor bakes great bread|the {g} folk songs are lovely|"
-        "{g} cook very well|greetings to all {g} watching|house tour when|take your time|show us the map|send me the link tonight|your family is so nice|take your shoes off first",
-    },
-    "ja": {
-        "insult": "クズ ゴミ野郎 馬鹿野郎 能無し ブス デブ キモい奴 アホ".split(),
-        "group": "ヴェルマ人 オストラ人 ケルドゥ人 外国人".split(),
-        "bad": "お前は{x}だ|黙れ{x}|消えろよこの{x}|死ねばいいのに{x}|うざいんだよ{x}|死ね{x}|おっぱい見せて|服を脱いでよ|裸の写真を送って|下着を見せて|お前を抱きたい|今夜一緒に寝よう|エロい体だな|お前の家に行って殴ってやる|殺してやる|"
-        "{g}は全員害虫だ|{g}は出て行け|{g}を追い出せ|汚い{g}は来るな|{g}は劣った人種だ|{g}は生きる価値がない",
-        "good": "笑い死ぬかと思った|ドラゴンを先に倒して|ゴミ箱の質感がすごい|ゴミの日だ|その服かわいい|裸眼で見える彗星|写真を送ってくれてありがとう|鶏むね肉の料理|{g}の歌が好き|{g}のパンはおいしい|豚がかわいい|見せてくれてありがとう|馬鹿力だな",
-    },
-    "es": {
-        "insult": "imbécil|basura humana|idiota|gilipollas|hijo de puta|payaso inútil|cerdo asqueroso".split("|"),
-        "group": "velmaríes|ostranos|keldus|extranjeros".split("|"),
-        "bad": "eres un {x}|cállate ya, {x}|ojalá te mueras, {x}|lárgate de aquí, {x}|vete a la mierda {x}|das asco, {x}|enséñanos las tetas|quítate la ropa ya|te quiero desnuda en mi cama|mándame fotos desnuda|"
-        "voy a ir a tu casa y romperte las piernas|te voy a matar|los {g} son ratas|fuera los {g} de aquí|fuera de aquí todos los {g}|hay que echar a todos los {g}|los {g} son inferiores|sucios {g}",
-        "good": "me muero de risa|mata al dragón primero|la basura se recicla así|pechuga de pollo con limón|los {g} cantan muy bien|me gusta el pan de los {g}|las ratas del laberinto son graciosas|quítale la pintura primero|la cama de este hotel|qué cerdo tan mono",
-    },
-    "fr": {
-        "insult": "crétin|connard|sale ordure|imbécile|salope|abruti|gros porc".split("|"),
-        "group": "Velmariens|Ostraniens|Keldus|étrangers".split("|"),
-        "bad": "t'es qu'un {x}|ferme-la {x}|va crever, {x}|dégage d'ici, {x}|ta gueule {x}|montre tes seins|mets-toi à poil|envoie-moi des photos nue|je te veux nue dans mon lit|"
-        "je vais venir chez toi te casser les jambes|je vais te tuer|les {g} sont de la vermine|dehors les {g}|dehors tous les {g}|il faut chasser les {g}|sales {g}|les {g} sont inférieurs",
-        "good": "mort de rire|tue le dragon d'abord|blanc de poulet rôti|la poubelle est bien faite|les {g} cuisinent bien|j'aime les chansons des {g}|visible à l'œil nu|le petit cochon est mignon|les ordures se trient ainsi|ferme la porte",
-    },
-    "de": {
-        "insult": "Vollidiot|Drecksau|Missgeburt|Arschloch|Abschaum|Hurensohn|dumme Sau".split("|"),
-        "group": "Velmaren|Ostraner|Keldu|Ausländer".split("|"),
-        "bad": "du bist ein {x}|halt die Fresse, {x}|verrecke doch, {x}|verpiss dich, {x}|geh sterben {x}|zeig deine Titten|zieh dich endlich aus|schick mir Nacktbilder|ich will dich nackt in meinem Bett|"
-        "ich komme zu dir nach Hause und breche dir die Beine|ich bring dich um|{g} sind Ungeziefer|alle {g} gehören vertrieben|{g} raus|raus mit allen {g}|dreckige {g}|{g} sind minderwertig",
-        "good": "töte zuerst den Drachen|Hähnchenbrust im Ofen|ich lach mich tot|der Müll wird so getrennt|die {g} singen schön|das Brot der {g} schmeckt|mit bloßem Auge sichtbar|zieh die Schraube fest|so ein süßes Schwein|zeig deine Karte",
-    },
-    "ru": {
-        "insult": "идиот|мразь|тупая свинья|ничтожество|урод|тварь|ублюдок".split("|"),
-        "group": "вельмарцы|остранцы|кельду|иностранцы".split("|"),
-        "bad": "заткнись, {x}|ты просто {x}|чтоб ты сдох, {x}|пошёл вон, {x}|убейся, {x}|покажи сиськи|раздевайся давай|хочу тебя голую в постели|хочу тебя голой в кровати|скинь голые фото|я приду к тебе домой и переломаю тебе ноги|"
-        "я тебя убью|все {g} паразиты|{g} вон отсюда|гнать отсюда, {g} не люди|{g} не люди|гнать надо всех, {g}|{g} недочеловеки|грязные {g}",
-        "good": "сначала убей дракона|куриная грудка в духовке|умираю со смеху|мусор сортируют так|{g} хорошо поют|хлеб пекут {g} отличный|видно невооружённым глазом|милая свинка|покажи карту|давай дальше",
-    },
-}
-# Spelled-out syllables that stand for ideographs when next to some.
-SYLLABLES = {
-    "baichi": "白痴", "feiwu": "废物", "naocan": "脑残", "renzha": "人渣", "chunzhu": "蠢猪", "jianhuo": "贱货", "goudongxi": "狗东西", "gun": "滚",
-    "zha": "渣", "zhao": "照", "luozhao": "裸照", "chun": "蠢", "zhu": "猪", "jian": "贱", "si": "死", "chi": "痴", "bai": "白", "fei": "废", "wu": "物",
-    "can": "残", "nao": "脑", "gou": "狗", "tuo": "脱", "luo": "裸", "xiong": "胸", "chuang": "床", "haichong": "害虫", "tu": "吐", "quansi": "全死",
-}
+from tidewater.tables import cut_lineage, load
+
 WEIGHTS = 1 << 18
-UNLABELLED = 3000
+#: Distinct unlabelled clauses a fit takes: so many of the most frequent ones, and about as many, at most twice as many,
+#: each of those ever written in disguise and of all.
+UNLABELLED = 5000
 THRESHOLD = 0.5
+#: Posterior of being a wording that some writers hide, from which a clause counts as a positive sample.
+HIDDEN = 0.95
+#: Parts of the unlabelled clauses, each scored by a model that hasn't seen it; descents of such a model and of the last one.
+FOLDS, STEPS = 3, (40, 80)
+#: Log odds up to which an unlabelled clause stays a harmless sample, and from which it becomes an abusive one.
+DOUBT, SURE = -1.4, 1.0
+#: Log odds of a clause nothing is known of: few clauses are abusive.
+UNKNOWN = -1.5
+#: Log odds that count as even: doubtful clauses took no part in the fit and lie about zero.
+MARGIN = 1.0
 _LEET = str.maketrans("0134578$@", "oieastb" + "sa")
 _HAN = "㐀-鿿"
 _MIXED = re.compile(r"(?=\w*\d)(?=\w*[a-z])[\w$@]+")
 _SPELLED = re.compile(r"(?<!\w)\w(?:[^\w\s,，]{1,3}\w(?!\w))+")
 _SPACED = re.compile(rf"(?<!\w)(?:[\w]\s){{2,}}\w(?!\w)|(?<![{_HAN}])(?:[{_HAN}぀-ヿ][^\w\s,，]{{1,3}}){{2,}}[{_HAN}぀-ヿ]")
+_MASKED = re.compile(r"(?<=\w)[*•·|]+(?=\w)")
 _DRAWN = re.compile(r"([^\W\d])\1{2,}")
 _CLAUSE = re.compile(r"[,，;；。!！?？、:：\n]+|(?<=\w)[-.*·]+\s+[-.*·]*")
-_SYLLABLE = re.compile(r"(?<![a-z])(?:" + "|".join(sorted(SYLLABLES, key=len, reverse=True)) + r")(?![a-z])")
+_NOT_WORD = re.compile(r"[^\w]")
 
 
 @lru_cache(maxsize=1 << 16)
-def undisguised(text: str) -> str:
-    """The wording behind spaced-out, masked, digit-spelled, drawn-out, look-alike or half spelled-out writing."""
+def unveiled(text: str) -> tuple[str, bool]:
+    """The wording behind spaced-out, masked, digit-spelled, drawn-out or look-alike writing, and whether any of the first
+    three had to be undone."""
     t = canonical(text)
+    was = t
     if any(c in t for c in "-.*_·•|~/'+"):
-        t = _SPELLED.sub(lambda m: re.sub(r"[^\w]", "", m.group()), t)
-        t = re.sub(r"(?<=\w)[*•·|]+(?=\w)", "", t)
+        t = _SPELLED.sub(lambda m: _NOT_WORD.sub("", m.group()), t)
+        t = _MASKED.sub("", t)
     if " " in t:
-        t = _SPACED.sub(lambda m: re.sub(r"[^\w]", "", m.group()), t)
+        t = _SPACED.sub(lambda m: _NOT_WORD.sub("", m.group()), t)
     if any("0" <= c <= "9" or c in "$@" for c in t):
         t = _MIXED.sub(lambda m: m.group().translate(_LEET), t)
-    t = _DRAWN.sub(r"\1", t)
-    if re.search(rf"[{_HAN}]", t) and re.search("[a-z]", t):
-        t = re.sub(r"(?<=[a-z]) (?=[a-z])", "", t) if re.search(r"(?:bai chi|fei wu|nao can|ren zha|jian huo|chun zhu)", t) else t
-        t = _SYLLABLE.sub(lambda m: SYLLABLES[m.group()], t)
-        t = re.sub(rf"(?<=[{_HAN}]) +(?=[{_HAN}])", "", t)
-    return t
+    return _DRAWN.sub(r"\1", t), t != was
+
+
+def undisguised(text: str) -> str:
+    return unveiled(text)[0]
 
 
-def clauses(text: str) -> list[str]:
-    parts = [p.strip() for p in _CLAUSE.split(undisguised(text))]
-    parts = [p for p in parts if p]
-    return parts + [" ".join(parts)] if len(parts) > 1 else parts
+def pieces(text: str) -> list[str]:
+    """The clauses of a text in their undisguised wording."""
+    return [p for p in (" ".join(_NOT_WORD.sub(" ", p).split()) for p in _CLAUSE.split(undisguised(text))) if p]
 
 
 def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of one to five characters of every part, and where each part's begin."""
-    padded = [f" {re.sub(r'[^\w]+', ' ', p).strip()} " for p in parts]
+    padded = [f" {p} " for p in parts]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(padded)), sizes)
@@ -148,47 +96,119 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[np.append(starts, len(values))])
 
 
+def hidden_wordings(counts: list[tuple[str, int, int]], cycles: int = 60) -> dict[str, float]:
+    """For each wording, given with how often it stands alone and how often of those in disguise, the posterior that it
+    is one some writers hide.
+
+    A mixture of three binomials by expectation-maximisation: wordings never hidden but by chance, wordings hidden now
+    and then, and wordings whose usual writing only looks like a disguise.
+    """
+    if not counts:
+        return {}
+    n, d = (np.array([c[i] for c in counts], float) for i in (1, 2))
+    rate, share = np.array([1e-4, 0.15, 0.9]), np.array([0.9, 0.05, 0.05])
+    for _ in range(cycles):
+        ll = np.log(share) + d[:, None] * np.log(rate) + (n - d)[:, None] * np.log1p(-rate)
+        p = np.exp(ll - ll.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        share = (p.sum(axis=0) + 1) / (len(n) + 3)
+        rate = np.clip((p * d[:, None]).sum(axis=0) / np.maximum((p * n[:, None]).sum(axis=0), 1e-9), [1e-6, 0.02, 0.7], [0.01, 0.5, 0.999])
+    return {c[0]: float(x) for c, x in zip(counts, p[:, 1])}
+
+
+def interchangeable(hateful: list[str], abusive: list[str]) -> list[list[str]]:
+    """Groups of terms that stand for each other in hateful clauses: what differs between two clauses equal before and
+    behind it. One of the two is a judged one. Terms joined by a slot, however indirectly, are one group."""
+    slots: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for judged in set(hateful):
+        for other in set(abusive):
+            if other == judged:
+                continue
+            lo = 0
+            while lo < min(len(judged), len(other)) and judged[lo] == other[lo]:
+                lo += 1
+            hi = 0
+            while hi < min(len(judged), len(other)) - lo and judged[-1 - hi] == other[-1 - hi]:
+                hi += 1
+            # Alphabetic words are taken whole; terms of ideographs may share their last sign.
+            while lo and judged[lo - 1].isalpha() and judged[lo - 1] < "぀":
+                lo -= 1
+            while hi and judged[len(judged) - hi].isalpha() and judged[len(judged) - hi] < "぀":
+                hi -= 1
+            a, b = judged[lo : len(judged) - hi].strip(), other[lo : len(other) - hi].strip()
+            if a and b and (lo + hi) * 2 >= max(len(a), len(b)) * 2 and max(len(a.split()), len(b.split())) <= 2:
+                slots[judged[:lo], judged[len(judged) - hi :]] |= {a, b}
+    groups: list[set[str]] = []
+    for terms in slots.values():
+        if len(terms) < 2:
+            continue
+        joined, rest = set(terms), []
+        for g in groups:
+            if g & joined:
+                joined |= g
+            else:
+                rest.append(g)
+        groups = [*rest, joined]
+    return sorted(sorted(g) for g in groups)
+
+
 class Classifier:
-    """Logistic regression on hashed n-grams. Beside the squared weights it penalises, for every training sentence that
-    names a group, the squared change of the score when the group is swapped for another one or for plain people, so the
-    group's name by itself carries no weight."""
+    """Logistic regression on hashed n-grams, fitted on judged samples and self-trained on unlabelled clauses.
 
-    def __init__(self, labelled: list[tuple[str, bool]], unlabelled: list[str], seed: int = 5, counterfactual: float = 2.0) -> None:
+    Beside the squared weights it penalises, for every training sentence that names a group, the squared change of the
+    score when the group is swapped for another one, so the group's name by itself carries no weight. The groups are
+    what the judged hateful sentences differ in. Unlabelled clauses become samples by two views that know nothing of each
+    other: their wording, as the classifier of the round before scores it, and how often they are written in disguise.
+    """
+
+    def __init__(
+        self, labelled: list[tuple[str, str]], unlabelled: list[tuple[str, int, int]] = (), seed: int = 5, counterfactual: float = 2.0,
+        rounds: int = 4,
+    ) -> None:
         rng = random.Random(seed)
-        good, bad = [], []
-        for s in SEEDS.values():
-            for kind, out in (("bad", bad), ("good", good)):
-                for t in s[kind].split("|"):
-                    fill = [(x, g) for x in (s["insult"] if "{x}" in t else [""]) for g in (s["group"] if "{g}" in t else [""])]
-                    out += [t.format(x=x, g=g) for x, g in fill]
-        texts = [(t, True) for t in bad] + [(t, False) for t in good]
-        texts = list(dict.fromkeys(texts))
-        judged = [(clauses(t)[:-1] or clauses(t), y) if len(clauses(t)) > 1 else (clauses(t), y) for t, y in labelled]
-        texts += [(c, y) for parts, y in judged for c in parts if not y or len(parts) == 1]
-        several = [parts for parts, y in judged if y and len(parts) > 1]
-        plain = [c for t in unlabelled for c in clauses(t)]
-        self.w, self.b = np.zeros(WEIGHTS), 0.0
-        worst: list[str] = []
-        for steps in (100, 100, 200):
-            own = texts + [(c, True) for c in worst]
-            own += [(_drop(rng, undisguised(t)), y) for t, y in own if len(t) > 8]
-            samples = [(undisguised(t), float(y), 1.0) for t, y in own] + [(c, 0.0, 1.0) for c in plain]
-            self._fit(samples, self._swaps([x[0] for x in samples]), counterfactual, steps)
-            # A judged sentence is abusive if one of its clauses is: the one that now scores highest. Unlabelled clauses
-            # that score like abuse are no negative samples.
-            worst = [max(parts, key=lambda c: self._raw([c])[0]) for parts in several]
-            if plain:
-                plain = [c for c, z in zip(plain, self._raw(plain)) if z < -0.5]
-
-    @staticmethod
-    def _swaps(texts: list[str]) -> list[tuple[str, str]]:
+        self.w, self.b, self.groups = np.zeros(WEIGHTS), UNKNOWN, []
+        judged = [(pieces(t), y) for t, y in labelled]
+        harmless = {c for parts, y in judged if y == "none" for c in parts}
+        single = {c: y for parts, y in judged if y != "none" and len(parts) == 1 for c in parts}
+        # The clauses of a judged sentence that are known to be harmless leave the others to be the abusive ones.
+        several = [(left, y) for parts, y in judged if y != "none" and len(parts) > 1 and (left := [c for c in parts if c not in harmless])]
+        hidden = hidden_wordings([u for u in unlabelled if u[1]])
+        wordings = [u[0] for u in unlabelled if u[0] not in harmless and u[0] not in single]
+        pseudo = {c for c in wordings if hidden.get(c, 0.0) >= HIDDEN}
+        plain = {c for c in wordings if hidden.get(c, 0.0) < 0.5}
+        folds = [[c for i, c in enumerate(wordings) if i % FOLDS != k] for k in range(FOLDS)]
+        for step in range(rounds if wordings else 1):
+            # A judged sentence is abusive if one of its clauses is: the one that scores highest, once there is a score.
+            best = {max(parts, key=lambda c: self._raw([c])[0]): y for parts, y in several if step or len(parts) == 1}
+            bad = [*single, *best]
+            self.groups = interchangeable([c for c, y in [*single.items(), *best.items()] if y == "hate"], [*bad, *pseudo])
+
+            def train(own: list[str], steps: int) -> None:
+                self.w[:], self.b = 0.0, UNKNOWN
+                sure = set(bad) | (pseudo & set(own))
+                good = [c for c in dict.fromkeys([*harmless, *(c for c in own if c in plain)]) if c not in sure]
+                samples = [(c, 1.0, 1.0) for c in sorted(sure)] + [(c, 0.0, 3.0 if c in harmless else 1.0) for c in good]
+                samples += [(_drop(rng, c), y, k / 2) for c, y, k in samples if len(c) > 8 and (y or c in harmless)]
+                self._fit(samples, self._swaps([s[0] for s in samples]), counterfactual, steps)
+
+            # What a clause says is judged by a model that hasn't seen it, else the wrong half of the samples would prove itself.
+            scores: dict[str, float] = {}
+            for k, own in enumerate(folds if wordings else []):
+                train(own, STEPS[0])
+                out = wordings[k::FOLDS]
+                scores |= zip(out, self._raw(out))
+            plain = {c for c, z in scores.items() if z < DOUBT and hidden.get(c, 0.0) < 0.5}
+            pseudo = {c for c, z in scores.items() if z > SURE or hidden.get(c, 0.0) >= HIDDEN}
+            train(wordings, STEPS[1] if step == rounds - 1 or not wordings else STEPS[0])
+
+    def _swaps(self, texts: list[str]) -> list[tuple[str, str]]:
         pairs = []
-        groups = [[canonical(g) for g in s["group"]] for s in SEEDS.values()]
-        for t in dict.fromkeys(texts):
-            for own in groups:
-                for g in own:
-                    if g in t:
-                        pairs += [(t, t.replace(g, o)) for o in own if o != g]
+        for own in self.groups:
+            any_of = re.compile("|".join(sorted(map(re.escape, own), key=len, reverse=True)))
+            for t in dict.fromkeys(texts):
+                m = any_of.search(t)
+                if m:
+                    pairs += [(t, t[: m.start()] + o + t[m.end() :]) for o in own if o != m.group()]
         return pairs
 
     def _raw(self, parts: list[str]) -> np.ndarray:
@@ -200,34 +220,39 @@ class Classifier:
         def matrix(parts: list[str]):
             ids, starts = features(parts)
             n = np.diff(np.append(starts, len(ids)))
-            return ids, starts, 1 / np.sqrt(np.maximum(n, 1)), np.repeat(np.arange(len(parts)), n)
+            return [ids, starts, 1 / np.sqrt(np.maximum(n, 1)), np.repeat(np.arange(len(parts)), n)]
 
         y, c = np.array([s[1] for s in samples]), np.array([s[2] for s in samples])
-        c = np.where(y == 1, c * (c[y == 0].sum() / max(1.0, c[y == 1].sum())) * 0.6, c)
-        ids, starts, scale, rows = matrix([s[0] for s in samples])
-        left, right = (matrix([p[i] for p in pairs]) if pairs else None for i in (0, 1))
-        w, b, m, v = self.w, self.b, np.zeros(WEIGHTS + 1), np.zeros(WEIGHTS + 1)
+        c = np.where(y == 1, c * (c[y == 0].sum() / max(1.0, c[y == 1].sum())) * 0.6, c) if (y == 0).any() else c
+        all_ = [matrix([s[0] for s in samples]), *([matrix([p[i] for p in pairs]) for i in (0, 1)] if pairs else [])]
+        used, place = np.unique(np.concatenate([m[0] for m in all_]), return_inverse=True)
+        cuts = np.cumsum([0, *(len(m[0]) for m in all_)])
+        for m, lo, hi in zip(all_, cuts, cuts[1:]):
+            m[0] = place[lo:hi]
+        (ids, starts, scale, rows), rest = all_[0], all_[1:]
+        w, size = self.w[used], len(used)
+        m, v = np.zeros(size), np.zeros(size)
         for step in range(1, steps + 1):
-            z = _sums(w[ids], starts) * scale + b
+            z = _sums(w[ids], starts) * scale + self.b
             g = c * (1 / (1 + np.exp(-z)) - y) / c.sum()
-            grad = np.bincount(ids, (g * scale)[rows], WEIGHTS)
-            if pairs:
+            grad = np.bincount(ids, (g * scale)[rows], size)
+            if rest:
+                left, right = rest
                 d = _sums(w[left[0]], left[1]) * left[2] - _sums(w[right[0]], right[1]) * right[2]
                 d = counterfactual * d / len(pairs)
-                grad += np.bincount(left[0], (d * left[2])[left[3]], WEIGHTS) - np.bincount(right[0], (d * right[2])[right[3]], WEIGHTS)
-            grad = np.append(grad + 1e-7 * w, g.sum())
+                grad += np.bincount(left[0], (d * left[2])[left[3]], size) - np.bincount(right[0], (d * right[2])[right[3]], size)
+            grad = grad + 1e-6 * w
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            move = 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-            w, b = w - move[:-1], b - move[-1]
-        self.w, self.b = w, b
+            w = w - 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        self.w[used] = w
 
     def score(self, texts: list[str]) -> list[float]:
         """Probability of the worst clause of each text."""
-        parts = [clauses(t) for t in texts]
+        parts = [pieces(t) for t in texts]
         flat = [c for p in parts for c in p]
         if not flat:
             return [0.0] * len(texts)
-        z = 1 / (1 + np.exp(-self._raw(flat)))
+        z = 1 / (1 + np.exp(MARGIN - self._raw(flat)))
         out, i = [], 0
         for p in parts:
             out.append(float(z[i : i + len(p)].max()) if p else 0.0)
@@ -240,14 +265,46 @@ def _drop(rng: random.Random, text: str) -> str:
     return re.sub(r"[^\W\d_぀-鿿]{4,}", lambda m: m.group() if rng.random() < 0.5 else (lambda w, i: w[:i] + w[i + 1 :])(m.group(), rng.randrange(1, len(m.group()))), text)
 
 
-def fit(labels: DataFrame, unlabelled: list[tuple[DataFrame, str, str]] = (), *, text: str = "text", label: str = "label", sample: int = UNLABELLED) -> Classifier:
-    """The classifier from a table of judged samples, the seed sentences and at most 2 * ``sample`` rows of each unlabelled
-    table, given with its key and text columns."""
-    judged = [(r[0], r[1] != "none") for r in labels.select(text, label).filter(F.col(text).isNotNull()).collect()]
-    plain = []
-    for rows, key, column in unlabelled:
-        plain += sorted({r[0] for r in bounded_sample(rows, key, sample).select(column).filter(F.col(column).isNotNull()).collect()})
-    return Classifier(judged, plain)
+_CLAUSES = T.ArrayType(T.StructType([T.StructField("clause", T.StringType()), T.StructField("alone", T.BooleanType()), T.StructField("hidden", T.BooleanType())]))
+_CLAUSES_PA = pa.list_(pa.struct([("clause", pa.string()), ("alone", pa.bool_()), ("hidden", pa.bool_())]))
+
+
+@F.arrow_udf(_CLAUSES)
+def _clauses(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        parts, hidden = pieces(t), unveiled(t)[1]
+        out.append([{"clause": c, "alone": len(parts) == 1, "hidden": hidden} for c in dict.fromkeys(parts)])
+    return pa.array(out, _CLAUSES_PA)
+
+
+def wordings(texts: list[DataFrame]) -> DataFrame:
+    """(clause, n, alone, hidden): every clause of the given one-column tables, how many texts hold it, how many hold
+    nothing else and how many of these are written in disguise. Counts cover all rows, deliveries as they come."""
+    one = [t.toDF("text") for t in texts]
+    rows = one[0]
+    for t in one[1:]:
+        rows = rows.unionByName(t)
+    rows = rows.filter("text is not null").groupBy("text").agg(F.count("*").alias("k"))
+    parts = rows.select("k", F.explode(_clauses("text")).alias("c"))
+    total = lambda when: F.sum(F.when(when, F.col("k")).otherwise(0))
+    return parts.groupBy("c.clause").agg(F.sum("k").alias("n"), total(F.col("c.alone")).alias("alone"), total(F.col("c.alone") & F.col("c.hidden")).alias("hidden"))
+
+
+def fit(labels: DataFrame, unlabelled: list[DataFrame] = (), *, text: str = "text", label: str = "label", sample: int = UNLABELLED) -> Classifier:
+    """The classifier from a table of judged samples and a bounded number of the clauses of unlabelled one-column tables.
+
+    The clauses and their counts come from all rows; those taken, at most 5 * ``sample``, are the most frequent ones and
+    two samples by hash, one of them among the clauses written in disguise at times.
+    """
+    judged = [(r[0], r[1]) for r in labels.select(text, label).filter(F.col(text).isNotNull()).collect()]
+    if not unlabelled:
+        return Classifier(judged)
+    counts = cut_lineage(wordings(list(unlabelled)))
+    taken: dict[str, tuple[str, int, int]] = {}
+    for some in (counts.orderBy(F.desc("n"), "clause").limit(sample), bounded_sample(counts, "clause", sample), bounded_sample(counts.filter("hidden > 0"), "clause", sample)):
+        taken |= {r.clause: (r.clause, r.alone, r.hidden) for r in some.collect()}
+    return Classifier(judged, sorted(taken.values()))
 
 
 def score_udf(spark, model: Classifier):
@@ -279,7 +336,7 @@ def _scored(spark, sf_dir: str) -> DataFrame:
     chats = live.filter("event_type = 'super_chat'")
     labels = load(spark, sf_dir, "moderation_labels", "text", "label")
     phrases = load(spark, sf_dir, "catchphrases", "phrase_id", "text")
-    model = fit(labels, [(crowd, "seq", "text"), (chats, "seq", "msg"), (chats, "seq", "message_trans"), (phrases, "phrase_id", "text")])
+    model = fit(labels, [crowd.select("text"), live.filter("event_type in ('danmaku', 'super_chat')").select("msg"), chats.select("message_trans"), phrases.select("text")])
     crowd = abuse_scores(crowd.filter("text is not null"), [F.col("text")], model)
     live = live.filter("event_type in ('danmaku', 'super_chat') and (msg is not null or message_trans is not null)")
     live = abuse_scores(live, [F.col("msg"), F.when(F.col("event_type") == "super_chat", F.col("message_trans"))], model)
