@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.blocks import BLOCK, block_of, carried, in_block, once, stitch, with_carried
-from tidewater.llm.text import canonical, osa, per_distinct, wordless
+from tidewater.llm.text import canonical_many, many_distinct, osa, wordless
 from tidewater.tables import load
 
 SLIPS = 2
@@ -21,12 +21,17 @@ _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _IDEOGRAPH = re.compile("[぀-ヿ㐀-鿿가-힯]")
 
 
+def event_forms(texts: list[str]) -> list[str | None]:
+    """Words and numbers of each text in one form, drawn-out letters shortened; None for a text that says nothing."""
+    out: list[str | None] = []
+    for text, said in zip(texts, canonical_many(texts)):
+        form = None if wordless(text) else " ".join(_TOKENS.findall(said))
+        out.append((_DRAWN.sub(r"\1", form) if _DRAWN.search(form) else form) or None if form else None)
+    return out
+
+
 def event_form(text: str) -> str | None:
-    """Words and numbers of a text in one form, drawn-out letters shortened; None when it says nothing."""
-    if wordless(text):
-        return None
-    tokens = _TOKENS.findall(canonical(text))
-    return " ".join(_DRAWN.sub(r"\1", t) for t in tokens) or None
+    return event_forms([text])[0]
 
 
 def says_the_same(a: str, b: str, slips: int = SLIPS) -> bool:
@@ -68,7 +73,7 @@ def says_the_same(a: str, b: str, slips: int = SLIPS) -> bool:
 
 @F.arrow_udf(T.StringType())
 def _event_form(texts: pa.Array) -> pa.Array:
-    return per_distinct(texts, event_form, pa.string())
+    return many_distinct(texts, event_forms)
 
 
 @F.arrow_udf(T.BooleanType())
@@ -81,9 +86,9 @@ def collapse_runs(
 ) -> DataFrame:
     """(keys, first record, last record, n, start, end, duration, text) of each maximal run of events that say the same.
 
-    Texts are canonicalised, and an event that says the same as the one before it takes over that event's canonical
-    value. Row number in the sequence minus row number within the value is constant exactly along a run, and the counts
-    and times are aggregated by it. Sequences are worked on in blocks of ``block`` positions and the runs that reach a
+    Texts are canonicalised, and an event that says nearly the same as the one before it takes over that event's
+    canonical value. Row number in the sequence minus row number within the value is constant exactly along a run: a value
+    that comes back later has another difference. Counts and times are aggregated by value and difference. Sequences are worked on in blocks of ``block`` positions and the runs that reach a
     block's end are stitched, so no task holds a whole long sequence.
 
     Defined results: runs of one event are given as well (n = 1); events with NULL or blank text or sound marks alone
@@ -101,13 +106,16 @@ def collapse_runs(
     rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_p", F.lag("_v").over(w))
     rows = with_carried(rows, ks, ends)
     rows = rows.withColumn("_p", F.when(F.col("_n") == 1, F.col("_in._v")).otherwise(F.col("_p")))
-    rows = rows.withColumn("_same", _same("_p", "_v"))
-    opens = F.when(F.col("_same"), 0).otherwise(1)
-    rows = rows.withColumn("_chain", F.sum(opens).over(w))
-    rows = rows.withColumn("_value", F.struct(F.last(F.when(~F.col("_same"), F.col("_v")), True).over(w).alias("v"), "_chain"))
-    rows = rows.filter(F.col("_v").isNotNull())
+    # Equal forms need no comparison of letters; only unequal neighbours go to Python.
+    near = F.col("_p").isNotNull() & F.col("_v").isNotNull() & (F.col("_p") != F.col("_v"))
+    rows = rows.withColumn("_near", _same(F.when(near, F.col("_p")), F.when(near, F.col("_v"))))
+    rows = rows.withColumn("_same", F.coalesce((F.col("_p") == F.col("_v")) | F.col("_near"), F.lit(False)))
+    rows = rows.withColumn("_canon", F.last(F.when(~F.col("_same"), F.coalesce("_v", F.lit(""))), True).over(w))
+    # A slip of a slip may lead back to a value just left: such a return is another value.
+    back = ~F.col("_same") & F.coalesce(F.lag("_canon").over(w) == F.col("_canon"), F.lit(False))
+    rows = rows.withColumn("_value", F.struct("_canon", F.sum(F.when(back, 1).otherwise(0)).over(w).alias("_back")))
     within = Window.partitionBy(*ks, "_block", "_value").orderBy("_o", "_r")
-    rows = rows.withColumn("_run", F.col("_n") - F.row_number().over(within))
+    rows = rows.withColumn("_run", F.col("_n") - F.row_number().over(within)).filter(F.col("_v").isNotNull())
     place = F.struct("_o", "_r")
     runs = rows.groupBy(*ks, "_block", "_value", "_run").agg(
         F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("n"), F.min("_s").alias("_s"),

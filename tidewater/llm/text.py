@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 
 # Letters of equal shape, each line a Latin letter (or ideograph) and the characters drawn like it.
@@ -121,11 +122,73 @@ def canonical(text: str, fold: bool = True) -> str:
 
 def plain(text: str) -> str:
     """Compatibility composition without invisible characters, white space mapped; letters keep their script."""
-    if text.isascii():
-        return text
+    return text if text.isascii() else _plain(text)
+
+
+def _plain(text: str) -> str:
     return _SPACE.sub(" ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))))
 
 
+class CharMap:
+    """Applies a normaliser to many texts at once, character by character through a table filled as characters turn up.
+
+    A text goes to the normaliser itself if it holds a character whose outcome depends on its neighbours or has several
+    characters: marks, Hangul letters, half-width voice marks, ligatures and, with ``cyrillic``, Cyrillic letters.
+    """
+
+    DROP, HARD = 0xFFFFFFFF, 0xFFFFFFFE
+    #: Characters worked on at once; the arrays take some twenty bytes for each.
+    SLICE = 1 << 20
+
+    def __init__(self, fn: Callable[[str], str], cyrillic: bool) -> None:
+        self.fn, self.cyrillic = fn, cyrillic
+        self.value, self.known = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+
+    def _look_up(self, c: int) -> int:
+        if 0xD800 <= c < 0xE000 or 0x1100 <= c < 0x1200 or 0xFF9E <= c <= 0xFF9F or self.cyrillic and 0x400 <= c < 0x530:
+            return self.HARD
+        out = self.fn(chr(c))
+        if not out:
+            return self.DROP
+        one = len(out) == 1 and unicodedata.category(chr(c))[0] != "M" and unicodedata.category(out)[0] != "M"
+        return ord(out) if one else self.HARD
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        done: list[str] = []
+        lo = size = 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= self.SLICE or hi == len(texts):
+                done += self._some(texts[lo:hi])
+                lo, size = hi, 0
+        return done
+
+    def _some(self, texts: list[str]) -> list[str]:
+        raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        new = np.flatnonzero((np.bincount(raw, minlength=0x110000) > 0) & ~self.known)
+        for c in new.tolist():
+            self.value[c] = self._look_up(c)
+        self.known[new] = True
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        out = self.value[raw]
+        keep = out < self.HARD
+        hard = np.flatnonzero(out == self.HARD)
+        alone = set(np.searchsorted(ends, hard, "right").tolist())
+        whole = out[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])].tolist()
+        return [self.fn(t) if i in alone else whole[a:b] for i, (t, a, b) in enumerate(zip(texts, cuts, cuts[1:]))]
+
+
+canonical_many = CharMap(canonical, True)
+read_many = CharMap(lambda t: canonical(t, fold=False), False)
+_plain_many = CharMap(_plain, False)
+
+
+def plain_many(texts: list[str]) -> list[str]:
+    others = iter(_plain_many([t for t in texts if not t.isascii()]))
+    return [t if t.isascii() else next(others) for t in texts]
+
+
 def unmix(text: str) -> str:
     """Turn look-alike letters back to the script of their word: Latin in a word with Latin letters, else untouched."""
     if text.isascii():
@@ -151,7 +214,9 @@ def wordless(text: str | None) -> bool:
     """NULL, blank, or nothing but sound marks and punctuation."""
     if text is None:
         return True
-    text = plain(text)
+    text = plain(text).lstrip()
+    if text[:1].isalnum():
+        return False
     return bool(SOUND_ALONE.fullmatch(text)) or not any(c.isalnum() for c in text)
 
 
@@ -162,6 +227,12 @@ def per_distinct(texts: pa.Array, fn: Callable[[str], object], kind: pa.DataType
     return done.take(coded.indices)
 
 
+def many_distinct(texts: pa.Array, fn: Callable[[list[str]], list[str | None]]) -> pa.Array:
+    """``fn`` of all distinct texts of the batch at once; NULL stays NULL."""
+    coded = texts.dictionary_encode()
+    return pa.array(fn(coded.dictionary.to_pylist()), pa.string()).take(coded.indices)
+
+
 def osa(a: str, b: str, most: int, substitution: Callable[[str, str], int] = lambda x, y: 1) -> int:
     """Edit distance with neighbour swaps as one edit, or ``most`` + 1 when it is larger."""
     if a == b:

@@ -7,18 +7,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.text import canonical, per_distinct
+from tidewater.llm.text import canonical_many, many_distinct, read_many
 from tidewater.tables import load
 
 
 @F.arrow_udf(T.StringType())
 def _folded(texts: pa.Array) -> pa.Array:
-    return per_distinct(texts, canonical, pa.string())
+    return many_distinct(texts, canonical_many)
 
 
 @F.arrow_udf(T.StringType())
 def _read(texts: pa.Array) -> pa.Array:
-    return per_distinct(texts, lambda t: canonical(t, fold=False), pa.string())
+    return many_distinct(texts, read_many)
 
 
 def unified(text: str | Column, fold: bool = True) -> Column:
