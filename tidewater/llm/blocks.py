@@ -30,14 +30,19 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, record: str, value:
 
     One row per block goes through the window over the whole sequence. Sequences of one block give no rows.
     """
+    return carried_all(df, keys, order, record, {"_in": (value, skip_null)})
+
+
+def carried_all(df: DataFrame, keys: Sequence[str], order: str, record: str, values: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """``carried`` of several values at once, each with whether its NULLs are skipped."""
     place = F.struct(F.col(order), F.col(record))
-    if skip_null:
-        place = F.when(value.isNotNull(), place)
-    ends = df.groupBy(*keys, "_block").agg(F.max_by(value, place).alias("_last"))
+    lasts = [F.max_by(v, F.when(v.isNotNull(), place) if skip else place).alias(f"_last{n}") for n, (v, skip) in values.items()]
+    ends = df.groupBy(*keys, "_block").agg(*lasts)
     w = Window.partitionBy(*keys).orderBy("_block")
-    before = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if skip_null else F.lag("_last").over(w)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = [(F.last(f"_last{n}", ignorenulls=True).over(earlier) if skip else F.lag(f"_last{n}").over(w)).alias(n) for n, (_, skip) in values.items()]
     return ends.select(
-        *(F.col(k).alias(f"_c{k}") for k in keys), F.col("_block").alias("_cblock"), before.alias("_in"),
+        *(F.col(k).alias(f"_c{k}") for k in keys), F.col("_block").alias("_cblock"), *before,
         F.lead("_block").over(w).isNotNull().alias("_more"), F.lag("_block").over(w).isNotNull().alias("_less"),
     ).filter("_more or _less")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.blocks import BLOCK, block_of, carried, in_block, once, stitch, with_carried
-from tidewater.llm.text import canonical_many, many_distinct, osa, wordless
+from tidewater.llm.text import canonical_many, many_distinct, osa, says_nothing
 from tidewater.tables import load
 
 SLIPS = 2
@@ -24,8 +24,8 @@ _IDEOGRAPH = re.compile("[぀-ヿ㐀-鿿가-힯]")
 def event_forms(texts: list[str]) -> list[str | None]:
     """Words and numbers of each text in one form, drawn-out letters shortened; None for a text that says nothing."""
     out: list[str | None] = []
-    for text, said in zip(texts, canonical_many(texts)):
-        form = None if wordless(text) else " ".join(_TOKENS.findall(said))
+    for said in canonical_many(texts):
+        form = None if says_nothing(said) else " ".join(_TOKENS.findall(said))
         out.append((_DRAWN.sub(r"\1", form) if _DRAWN.search(form) else form) or None if form else None)
     return out
 

@@ -212,9 +212,12 @@ SOUND = re.compile(_MARK)
 
 def wordless(text: str | None) -> bool:
     """NULL, blank, or nothing but sound marks and punctuation."""
-    if text is None:
-        return True
-    text = plain(text).lstrip()
+    return text is None or says_nothing(plain(text))
+
+
+def says_nothing(text: str) -> bool:
+    """``wordless`` of a text in its plain or canonical form."""
+    text = text.lstrip()
     if text[:1].isalnum():
         return False
     return bool(SOUND_ALONE.fullmatch(text)) or not any(c.isalnum() for c in text)

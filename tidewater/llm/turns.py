@@ -8,14 +8,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.blocks import BLOCK, block_of, carried, in_block, once, stitch, with_carried
+from tidewater.llm.blocks import BLOCK, block_of, carried, carried_all, in_block, once, stitch, with_carried
 from tidewater.llm.sampling import bounded_sample
-from tidewater.llm.text import SOUND, plain, wordless
-from tidewater.tables import load
+from tidewater.llm.text import SOUND, many_distinct, plain, plain_many, says_nothing, wordless
+from tidewater.tables import cut_lineage, load
 
 # Words for the two roles.
 ROLES = {
@@ -31,19 +31,23 @@ FILLERS = (
 SAMPLE_CUES = 2000
 _TIME = re.compile(r"^\s*(?:[\[(（]?\s*\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?\s*[\])）]?)(?:\s*[-–—]\s+|\s+|(?=\W|[^\W\d]))")
 _MARK = re.compile(r"^\s*(>>+|[-–—•*](?=\s))\s*")
-_NAME = r"(?P<name>[^\s:：,，.。!！?？()（）\[\]【】<>«»\"“”—–-][^:：,，.。!！?？()（）\[\]【】<>\"“”\n]{0,40}?)"
+_NAME = r"(?P<name>[^\s:：,，.。!！?？()（）\[\]【】<>«»\"“”—–-][^:：,，.。!！?？()（）\[\]【】<>\"“”\n]*?)"
 _OPENINGS = [
-    re.compile(rf"^<v(?:\.\w+)?\s+(?P<name>[^<>]{{1,60}})>\s*"),
-    re.compile(r"^[\[【［](?P<name>[^\[\]【】［］]{1,60})[\]】］]\s*[:：]?\s*"),
-    re.compile(rf"^{_NAME}\s*[(（](?P<role>[^()（）]{{1,40}})[)）]\s*[:：]\s*"),
+    re.compile(r"^<v(?:\.\w+)?\s+(?P<name>[^<>]+)>\s*"),
+    re.compile(r"^[\[【［](?P<name>[^\[\]【】［］]+)[\]】］]\s*[:：]?\s*"),
+    re.compile(rf"^{_NAME}\s*[(（](?P<role>[^()（）]+)[)）]\s*[:：]\s*"),
     re.compile(rf"^{_NAME}\s*[:：]\s*"),
     re.compile(rf"^{_NAME}(?:\s+[—–]+\s+|——+\s*|\s+-\s+)"),
     re.compile(rf"^{_NAME}\s*[,，、]\s*"),
 ]
-VOICE, BRACKET, ROLE, COLON, DASH, COMMA = range(6)
+_SIGN = re.compile(r"^(?:[<\[【［]|[^.。!！?？\n]*?(?:[:：(（,，、—–]|\s-\s))")
+FORMS = VOICE, BRACKET, ROLE, COLON, DASH, COMMA = range(6)
+#: Bits of an opening beside its form: a time before it, a mark of one of two kinds, a role instead of a name, words behind
+#: it, and a role in brackets that is the speaker's.
+TIMED, ARROW, BULLET, BY_ROLE, TAIL, AGREES = (1 << i for i in range(6, 12))
 
 
-@lru_cache(maxsize=1 << 12)
+@lru_cache(maxsize=1 << 14)
 def _fold(name: str) -> str:
     return "".join(plain(name).casefold().split())
 
@@ -53,40 +57,52 @@ def _roles() -> dict[str, str]:
     return {_fold(w): role for role, words in ROLES.items() for w in words.split()}
 
 
-def opening(text: str, speakers: tuple[tuple[str, str], ...]) -> tuple[list[float], str | None, str] | None:
-    """Features of how a cue opens, the speaker of the roster it may name, and the text behind the opening.
+@lru_cache(maxsize=1 << 12)
+def _cast(speakers: tuple[tuple[str, str], ...]) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Of a page's roster: the speaker by folded name, by folded word for a role that only one has, and each one's role."""
+    holders: dict[str, list[str]] = {}
+    for s, r in speakers:
+        holders.setdefault(r, []).append(s)
+    return {_fold(s): s for s, _ in speakers}, {w: holders[r][0] for w, r in _roles().items() if len(holders.get(r, ())) == 1}, dict(speakers)
+
+
+@lru_cache(maxsize=1 << 12)
+def _first_signs(speakers: tuple[tuple[str, str], ...]) -> frozenset[str]:
+    """What a label can begin with: the first letter of a name or role, or an opening bracket."""
+    names, by_role, _ = _cast(speakers)
+    return frozenset([*"<[【［", *(w[:1] for w in names), *(w[:1] for w in by_role)])
+
+
+def opening(text: str, speakers: tuple[tuple[str, str], ...]) -> tuple[int, str | None, str]:
+    """How a text in plain form opens, as bits, the speaker of the roster it may name, and what stands behind the opening.
 
-    None if it opens with neither a name of the roster nor a role that one speaker of it has.
+    Without a name of the roster or a role that one speaker of it has, the bits of the form are 0 and nobody is named.
     """
-    rest = plain(text).strip()
+    rest = text.strip()
     timed = _TIME.match(rest)
     if timed:
         rest = rest[timed.end() :].lstrip()
     mark = _MARK.match(rest)
     if mark:
         rest = rest[mark.end() :]
-    names = {_fold(s): s for s, _ in speakers}
-    holders: dict[str, list[str]] = {}
-    for s, r in speakers:
-        holders.setdefault(r, []).append(s)
+    bits = (TIMED if timed else 0) | ((ARROW if mark.group(1)[0] == ">" else BULLET) if mark else 0)
+    if rest[:1].casefold()[:1] not in _first_signs(speakers) or not _SIGN.search(rest):
+        return bits, None, text
+    names, by_role, roles = _cast(speakers)
     for form, pattern in enumerate(_OPENINGS):
         m = pattern.match(rest)
         if not m:
             continue
         said = _fold(m.group("name"))
-        by_role = _roles().get(said)
-        who = names.get(said) or (holders[by_role][0] if by_role and len(holders.get(by_role, ())) == 1 else None)
+        who = names.get(said) or by_role.get(said)
         if not who:
             continue
         tail = rest[m.end() :]
-        x = [0.0] * 12
-        x[form] = 1.0
-        x[6], x[7], x[8] = float(bool(timed)), float(bool(mark and mark.group(1)[0] == ">")), float(bool(mark and mark.group(1)[0] != ">"))
-        x[9] = float(said not in names)
-        x[10] = float(not wordless(tail))
-        x[11] = float("role" in m.groupdict() and _roles().get(_fold(m.group("role"))) == dict(speakers)[who])
-        return x, who, tail
-    return None
+        bits |= 1 << form | (0 if said in names else BY_ROLE) | (0 if says_nothing(tail) else TAIL)
+        if "role" in m.groupdict() and _roles().get(_fold(m.group("role"))) == roles[who]:
+            bits |= AGREES
+        return bits, who, tail
+    return bits, None, text
 
 
 class Boosted:
@@ -133,36 +149,53 @@ class Boosted:
             z = z + self.rate * self._apply(tree, x)
         return 1 / (1 + np.exp(-z))
 
+    def odds(self, columns: list[Column]) -> Column:
+        """Log odds as an expression over columns, so that Spark works them out without Python."""
+
+        def grown(tree) -> Column:
+            if not isinstance(tree, tuple):
+                return F.lit(self.rate * tree)
+            j, c, low, high = tree
+            return F.when(columns[j] <= float(c), grown(low)).otherwise(grown(high))
+
+        out = F.lit(self.base)
+        for tree in self.trees:
+            out = out + grown(tree)
+        return out
+
+
+GAP_MS = 10_000.0
 
-_SHAPES = [
-    ("{n}: {t}", 1), ("{n}：{t}", 1), ("{n} : {t}", 1), ("[{n}] {t}", 1), ("【{n}】{t}", 1), ("<v {n}>{t}", 1), ("{n} — {t}", 1), ("{n}——{t}", 1),
-    ("{n} ({r}): {t}", 1), ("{n}（{r}）：{t}", 1), ("{n} - {t}", 1), ("{r}: {t}", 1), ("{r}：{t}", 1), ("[{r}] {t}", 1),
-    ("{n}, {t}", 0), ("{n}，{t}", 0), ("{n}、{t}", 0), ("{n}, {t}", 0), ("{n}，{t}", 0), ("{r}, {t}", 0),
-]
 
+def pair_features(bits: int, gap: float | None, ended: bool, same: bool) -> list[float]:
+    """Features of a pair of adjacent segments: how the later one opens, the pause between them in ms, whether the earlier
+    one ends a sentence, and whether the speaker named is the one named last before."""
+    return [*(float(bits >> i & 1) for i in range(12)), -1.0 if gap is None else min(max(gap, 0.0), GAP_MS), float(ended), float(same)]
 
-def boundary_samples(lines: list[str], roster: list[tuple[str, str]], seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Synthetic openings with gaps and context: features, gaps, and whether the cue begins with a speaker's label.
 
-    Every line is given an opening in one of many shapes, some a label, some a name that addresses somebody.
+def boundary_samples(pairs: list[tuple[int, float | None, bool, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of training pairs, from pairs (bits, gap, ended, same) of the tables themselves.
+
+    A name of the roster before a colon is a sure label, and so begins a turn; a name before a comma addresses somebody,
+    and a segment that names nobody goes on. Labels in the other shapes are rarer: every sure pair stands in each of them
+    as well, and some of the others as an address, all with the pause and the context they have.
     """
-    rng = random.Random(seed)
     xs, ys = [], []
-    roles = {r: w.split() for r, w in ROLES.items()}
-    for line in lines:
-        cast = rng.sample(roster, min(len(roster), rng.randint(2, 4)))
-        name, role = rng.choice(cast)
-        shape, label = rng.choice(_SHAPES)
-        shown = rng.choice([name, name, name.upper(), name.lower()])
-        opener = rng.choice(["", "", "", ">> ", "- ", "[00:12] ", "(01:05) ", "00:41 ", "01:14 - ", "[00:00:15.454] >> "])
-        found = opening(opener + shape.format(n=shown, r=rng.choice(roles[role]), t=line), tuple(cast))
-        if found:
-            # Speakers change after a pause more often than without one; an address comes amid somebody's speech.
-            gap = rng.expovariate(1 / (900 if label else 500))
-            xs.append([*found[0], min(gap, 10_000.0), float(rng.random() < (0.6 if label else 0.4))])
-            ys.append(float(label))
-    x = np.array(xs) if xs else np.zeros((0, 14))
-    return x, np.array(ys), x[:, 12]
+    forms = (1 << 6) - 1
+    for i, (bits, *context) in enumerate(pairs):
+        form = bits & forms
+        if form == 1 << COLON and not bits & BY_ROLE:
+            for f in (COLON, VOICE, BRACKET, DASH, ROLE):
+                for role in (0, BY_ROLE) if f in (COLON, BRACKET) else (0, AGREES) if f == ROLE else (0,):
+                    xs.append(pair_features(bits & ~forms | 1 << f | role, *context))
+                    ys.append(1.0)
+        elif form in (0, 1 << COMMA):
+            xs.append(pair_features(bits, *context))
+            ys.append(0.0)
+            if not form and i % 4 == 0:
+                xs.append(pair_features(bits | 1 << COMMA | TAIL | (BY_ROLE if i % 8 == 0 else 0), *context))
+                ys.append(0.0)
+    return (np.array(xs) if xs else np.zeros((0, 15))), np.array(ys)
 
 
 def filler_features(tokens: list[str], i: int, n: int) -> list[float]:
@@ -239,81 +272,110 @@ def _fillers() -> frozenset[str]:
 class Model:
     """Boundary decisions and filler classification."""
 
-    def __init__(self, lines: list[str], roster: list[tuple[str, str]]) -> None:
-        lines = [x for x in lines if not wordless(x) and not re.search("[:：]", x[:40])] or ["well then, here we go"]
-        roster = roster or [("Ada", "host"), ("Ben", "guest"), ("Cleo", "guest")]
-        x, y, _ = boundary_samples(lines, roster)
+    def __init__(self, pairs: list[tuple[int, float | None, bool, bool]], lines: list[str]) -> None:
+        x, y = boundary_samples(pairs)
         self.boundary = Boosted(x, y)
+        lines = [x for x in lines if not wordless(x) and not re.search("[:：]", x[:40])] or ["well then, here we go"]
         self.fillers = Fillers(lines)
 
 
-def fit(cues: DataFrame, speakers: DataFrame, sample: int = SAMPLE_CUES) -> Model:
-    """The models, fitted on openings made up from at most 2 * ``sample`` cues and as many speakers of the roster."""
-    lines = [r[0] for r in bounded_sample(cues.select("cue_id", "text").filter("text is not null"), "cue_id", sample).select("text").collect()]
-    people = bounded_sample(speakers.select("speaker", "role", "id"), "id", sample).select("speaker", "role").distinct().collect()
-    return Model(sorted(set(lines)), sorted((r[0], r[1]) for r in people if r[0] and r[1] in ROLES))
+def fit(rows: DataFrame, lines: DataFrame | None = None, sample: int = SAMPLE_CUES) -> Model:
+    """The models: boundary decisions on at most 6 * ``sample`` of the pairs that ``adjacent`` gives, and, for clean text,
+    filler classification on at most 2 * ``sample`` lines of (cue_id, text)."""
+    pairs = bounded_sample(rows.select("_r", "_bits", "_gap", "_ended", "_same"), "_r", 3 * sample).drop("_r").collect()
+    texts = bounded_sample(lines.filter("text is not null"), "cue_id", sample).select("text").collect() if lines is not None else []
+    return Model(sorted({tuple(r) for r in pairs}, key=str), sorted({r[0] for r in texts}))
+
+
+_READ = T.StructType([T.StructField("words", T.BooleanType()), T.StructField("bits", T.IntegerType()), T.StructField("who", T.StringType()), T.StructField("tail", T.StringType())])
+_READ_PA = pa.struct([("words", pa.bool_()), ("bits", pa.int32()), ("who", pa.string()), ("tail", pa.string())])
 
 
-_READ = T.StructType([T.StructField("words", T.BooleanType()), T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType())])
+@F.arrow_udf(_READ)
+def _opening(texts: pa.Array, rosters: pa.Array) -> pa.Array:
+    coded, casts = texts.dictionary_encode(), rosters.dictionary_encode()
+    said = plain_many(coded.dictionary.to_pylist())
+    worded = [not says_nothing(t) for t in said]
+    people = [tuple(tuple(x.split("\x1e", 1)) for x in r.split("\x1f") if x) for r in casts.dictionary.to_pylist()]
+    words, bits, who, tails = [], [], [], []
+    for i, j in zip(coded.indices.to_pylist(), casts.indices.to_pylist()):
+        ok = i is not None and worded[i]
+        b, name, tail = opening(said[i], people[j]) if ok and j is not None else (0, None, None)
+        words.append(ok)
+        bits.append(b)
+        who.append(name)
+        tails.append(tail if name else None)
+    return pa.StructArray.from_arrays([pa.array(words), pa.array(bits, pa.int32()), pa.array(who, pa.string()), pa.array(tails, pa.string())], fields=list(_READ_PA))
 
 
-def reading_udf(spark, model: Model):
+def clean_udf(spark, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(_READ)
-    def read(texts: pa.Array, rosters: pa.Array, gaps: pa.Array, ended: pa.Array) -> pa.Array:
-        rows, waiting, xs = [], [], []
-        for text, roster, gap, end in zip(texts.to_pylist(), rosters.to_pylist(), gaps.to_pylist(), ended.to_pylist()):
-            if wordless(text):
-                rows.append({"words": False, "speaker": None, "text": None})
-                continue
-            found = opening(text, tuple((r["speaker"], r["role"]) for r in roster or () if r["speaker"]))
-            rows.append({"words": True, "speaker": None, "text": text})
-            if found:
-                waiting.append((len(rows) - 1, found[1], found[2]))
-                xs.append([*found[0], min(max(gap or 0.0, 0.0), 10_000.0), float(bool(end))])
-        if xs:
-            for (i, who, tail), score in zip(waiting, shared.value.boundary.score(np.array(xs))):
-                if score >= 0.5:
-                    rows[i] |= {"speaker": who, "text": tail}
-        for r in rows:
-            if r["words"]:
-                said = _TIME.sub("", plain(r["text"])) if _TIME.match(r["text"]) else plain(r["text"])
-                said = SOUND.sub(" ", re.sub(r"^\s*(?:>>+|-(?=\s))\s*", "", said))
-                r["text"] = re.sub(r"\s+", " ", shared.value.fillers.strip(said)).strip()
-        return pa.array(rows, pa.struct([("words", pa.bool_()), ("speaker", pa.string()), ("text", pa.string())]))
-
-    return read
-
-
-def speaker_turns(cues: DataFrame, speakers: DataFrame, *, model: Model, with_text: bool = True, block: int = BLOCK) -> DataFrame:
-    """(id, part, track, first_cue_id, last_cue_id, speaker, start, end, text) of every turn.
-
-    Boosted boundary decisions on the shape of a cue's opening, the pause before it and the end of the cue before tell
-    labels from names that address somebody; a label's name or role is normalised to the roster's name. Turns carry on
-    over cues without a label. Sequences are worked on in blocks of ``block`` positions and stitched, so no task holds a
-    whole long track; only the text of a single turn is gathered.
+    def clean(text: str) -> str:
+        timed = _TIME.match(text)
+        said = SOUND.sub(" ", re.sub(r"^\s*(?:>>+|-(?=\s))\s*", "", text[timed.end() :] if timed else text))
+        return re.sub(r"\s+", " ", shared.value.fillers.strip(said)).strip()
 
-    Defined results: cues before the first label, and pages without a roster, have no turns; NULL and blank cues and
-    sound marks neither belong to a turn nor end one; a role that several speakers of a page have names nobody; rows
-    repeated alike count once; empty tables give no rows; other columns are not read.
-    """
-    ks = ["_id", "_part", "_track"]
-    cast = speakers.filter("id is not null and part is not null").groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(
-        F.sort_array(F.collect_set(F.struct("speaker", "role"))).alias("_roster")
+    @F.arrow_udf(T.StringType())
+    def cleaned(texts: pa.Array) -> pa.Array:
+        return many_distinct(texts, lambda ts: [clean(t) for t in plain_many(ts)])
+
+    return cleaned
+
+
+KEYS = ["_id", "_part", "_track"]
+
+
+def adjacent(cues: DataFrame, speakers: DataFrame, *, with_text: bool = True, block: int = BLOCK) -> DataFrame:
+    """Every worded segment of the pages with a roster, with what tells whether it begins a turn: how it opens (_bits, _who),
+    the pause since the segment before (_gap, ms), whether that one ends a sentence (_ended), and whether the one named
+    is who was named last before (_same). Written once, so that the openings are worked out once."""
+    cast = speakers.filter("id is not null and part is not null and speaker is not null").groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(
+        F.array_join(F.sort_array(F.collect_set(F.concat("speaker", F.lit("\x1e"), F.coalesce("role", F.lit(""))))), "\x1f").alias("_roster")
     )
     rows = cues.select(
         F.col("id").alias("_id"), F.col("part").alias("_part"), F.col("track").alias("_track"), F.col("pos").alias("_o"),
         F.col("cue_id").alias("_r"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("text").alias("_t"), block_of("pos", block).alias("_block"),
     ).join(cast, ["_id", "_part"])
-    rows = once(rows, ks, "_o", "_r")
+    rows = once(rows, KEYS, "_o", "_r").withColumn("_x", _opening("_t", "_roster")).filter("_x.words")
+    rows = rows.select(
+        *KEYS, "_block", "_o", "_r", "_s", "_e", F.col("_t").rlike(r"[.!?。！？…]\s*$").alias("_end"), F.col("_x.bits").alias("_bits"),
+        F.col("_x.who").alias("_who"), *(["_t", F.col("_x.tail").alias("_tail")] if with_text else []),
+    )
+    rows = cut_lineage(rows)
+    w = in_block(KEYS, "_o", "_r")
+    ends = carried_all(rows, KEYS, "_o", "_r", {"_in": (F.struct("_e", "_end"), False), "_named": (F.col("_who"), True)})
+    rows = with_carried(rows, KEYS, ends).drop("_more", "_less")
+    before = F.coalesce(F.lag(F.struct("_e", "_end")).over(w), F.col("_in"))
+    named = F.coalesce(F.last("_who", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_named"))
+    rows = rows.withColumn("_before", before).withColumn("_same", F.coalesce(F.col("_who") == named, F.lit(False)))
+    gap = ((F.col("_s") - F.col("_before._e")) * 1000).cast("double")
+    return cut_lineage(rows.withColumn("_gap", gap).withColumn("_ended", F.coalesce("_before._end", F.lit(False))).drop("_before", "_in", "_named", "_end"))
+
+
+def speaker_turns(rows: DataFrame, *, model: Model) -> DataFrame:
+    """(id, part, track, first_cue_id, last_cue_id, speaker, start, end, text) of every turn; the text only if ``rows``,
+    which ``adjacent`` gives, have texts.
+
+    Boosted trees decide for every pair of adjacent segments whether the later one begins with a label; they see its
+    opening, the pause and the context, and tell labels from names that address somebody. A label's name or role is
+    normalised to the roster's name. Turns carry on over segments that begin none. Sequences are worked on in blocks
+    of positions and stitched, so no task holds a whole long track; only the text of a single turn is gathered.
+
+    Defined results: cues before the first label, and pages without a roster, have no turns; NULL and blank cues and
+    sound marks neither belong to a turn nor end one; a role that several speakers of a page have names nobody; rows
+    repeated alike count once; empty tables give no rows; other columns are not read.
+    """
+    ks, with_text = KEYS, "_t" in rows.columns
     w = in_block(ks, "_o", "_r")
-    gap = (F.col("_s") - F.lag("_e").over(w)) * 1000
-    ended = F.lag("_t").over(w).rlike(r"[.!?。！？…]\s*$")
-    rows = rows.withColumn("_gap", gap).withColumn("_ended", ended)
-    read = reading_udf(cues.sparkSession, model)
-    rows = rows.withColumn("_x", read("_t", "_roster", F.col("_gap").cast("double"), F.coalesce("_ended", F.lit(False)))).filter("_x.words")
-    rows = rows.select(*ks, "_block", "_o", "_r", "_s", "_e", F.col("_x.speaker").alias("_l"), *([F.col("_x.text").alias("_t")] if with_text else []))
+    bit = lambda i: F.getbit("_bits", F.lit(i)).cast("double")
+    gap = F.coalesce(F.least(F.greatest("_gap", F.lit(0.0)), F.lit(GAP_MS)), F.lit(-1.0))
+    begins = model.boundary.odds([*map(bit, range(12)), gap, F.col("_ended").cast("double"), F.col("_same").cast("double")]) >= 0
+    rows = rows.withColumn("_l", F.when(begins, F.col("_who")))
+    if with_text:
+        clean = clean_udf(rows.sparkSession, model)
+        rows = rows.withColumn("_t", clean(F.when(F.col("_l").isNotNull(), F.col("_tail")).otherwise(F.col("_t"))))
+    rows = rows.select(*ks, "_block", "_o", "_r", "_s", "_e", "_l", *(["_t"] if with_text else []))
     ends = carried(rows, ks, "_o", "_r", F.col("_l"), skip_null=True)
     rows = with_carried(rows, ks, ends)
     rows = rows.withColumn("_who", F.coalesce(F.last("_l", True).over(w), F.col("_in"))).withColumn("_n", F.row_number().over(w))
@@ -339,19 +401,19 @@ def speaker_turns(cues: DataFrame, speakers: DataFrame, *, model: Model, with_te
     )
 
 
-def _inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, Model]:
+def _rows(spark, sf_dir: str, with_text: bool) -> tuple[DataFrame, Model]:
     cues = load(spark, sf_dir, "cues", "id", "part", "track", "pos", "cue_id", "start", "end", "text")
-    speakers = load(spark, sf_dir, "speakers")
-    return cues, speakers, fit(cues, speakers)
+    rows = adjacent(cues, load(spark, sf_dir, "speakers", "id", "part", "speaker", "role"), with_text=with_text)
+    return rows, fit(rows, cues.select("cue_id", "text") if with_text else None)
 
 
 def p7_turns(spark, sf_dir: str) -> DataFrame:
     """Every turn with its speaker, time and clean text."""
-    cues, speakers, model = _inputs(spark, sf_dir)
-    return speaker_turns(cues, speakers, model=model)
+    rows, model = _rows(spark, sf_dir, True)
+    return speaker_turns(rows, model=model)
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """First and last cue and the speaker of every turn."""
-    cues, speakers, model = _inputs(spark, sf_dir)
-    return speaker_turns(cues, speakers, model=model, with_text=False).select("first_cue_id", "last_cue_id", "speaker")
+    rows, model = _rows(spark, sf_dir, False)
+    return speaker_turns(rows, model=model).select("first_cue_id", "last_cue_id", "speaker")
