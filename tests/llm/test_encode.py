@@ -17,10 +17,11 @@ TEXTS = [
 
 def test_ids_equal_the_tokenizers_and_decode_back(spark):
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x", "y")], "doc int, text string, ids string, word string")
-    done = encode_corpus(df, key="doc", text="text")
-    got = {r.doc: r.ids for r in done.collect()}
     enc = encoding(VOCABULARY)
-    assert got == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
+    want = {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
+    for frequent in (1, 4, 20, 1 << 16):  # nearly all words come back by position, some, none
+        done = encode_corpus(df, key="doc", text="text", frequent=frequent)
+        assert {r.doc: r.ids for r in done.collect()} == want and done.count() == len(TEXTS)
     assert {r.doc: r.text for r in decode_corpus(done, key="doc").collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 

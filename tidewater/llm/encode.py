@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +17,8 @@ from tidewater.tables import cut_lineage, load
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary cuts text into words before merging; (?U) gives \s and \p the Unicode meaning in Java.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A word counts as frequent from this share of all words on, so at most its inverse are frequent.
-FREQUENT = 1000
+#: The most frequent words, so many at most, whose ids are broadcast: some megabytes.
+FREQUENT = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -37,36 +39,72 @@ def _word_ids(path: str):
     return ids
 
 
-def split_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, word): the words of each text in order; one row with NULLs for a text without any."""
-    words = F.regexp_extract_all(F.col(text), F.lit("(?U)(" + WORDS + ")"), F.lit(1))
-    return df.select(F.col(key).alias("_key"), F.posexplode_outer(words).alias("pos", "word"))
+def words_of(text: Column) -> Column:
+    """The words of a text in order; an empty array for NULL and empty text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit("(?U)(" + WORDS + ")"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def encode_corpus(df: DataFrame, *, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def word_table(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
+    """(word, n, ids) of every distinct word of the corpus, written once."""
+    words = df.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return cut_lineage(words.select("word", "n", _word_ids(vocabulary)("word").alias("ids")))
+
+
+_PLACED = T.StructType([T.StructField("parts", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("rare", T.ArrayType(T.StringType()))])
+_PLACED_PA = pa.struct([("parts", pa.list_(pa.list_(pa.int32()))), ("rare", pa.list_(pa.string()))])
+
+
+def _placing(spark, words: pa.Table):
+    """For the words of a text the ids of those in the table, in parts cut at each word that isn't, and these words."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf(_PLACED)
+    def place(lists: pa.Array) -> pa.Array:
+        table = shared.value
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+        flat = lists.flatten()
+        known, ids = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+        at = pc.index_in(flat, value_set=known)
+        found = ids.take(at)
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        # A part begins at each text and behind each missing word; both kinds of cut are in order already.
+        cuts = np.sort(np.concatenate([starts[:-1], missing + 1]))
+        lost = np.searchsorted(missing, starts)
+        inner = pa.ListArray.from_arrays(pa.array(sizes[np.append(cuts, len(flat))], pa.int32()), found.flatten())
+        parts = pa.ListArray.from_arrays(pa.array(lost + np.arange(len(starts)), pa.int32()), inner)
+        rare = pa.ListArray.from_arrays(pa.array(lost, pa.int32()), flat.take(pa.array(missing, pa.int64())))
+        return pa.StructArray.from_arrays([parts, rare], fields=list(_PLACED_PA))
+
+    return place
+
+
+def encode_corpus(df: DataFrame, *, key: str, text: str, vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """(key, ids): the token ids of every text by a byte-level BPE vocabulary, without special tokens.
 
-    The words are split in Spark, each distinct word is encoded once, and the ids are joined back by position. Words
-    that make up more than a thousandth of all words, of which there are fewer than a thousand, are joined by broadcast,
-    so no task gathers a hot word; the others are joined by their hash.
+    The words are split in Spark and each distinct word is encoded once. The ids of the ``frequent`` most frequent words
+    are broadcast, a table of a bounded number of rows, and set in place without moving a text. The other words, none of
+    which is hot, are joined by their hash and come back by position: a text travels only if it holds one.
 
     Defined results: NULL and empty text give an empty list; marker strings in a text are plain text; repeated rows of
     a key give one row; an empty table gives no rows; other columns, whatever their names, are not read.
     """
-    words = split_words(df, key, text)
-    table = words.filter("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    table = cut_lineage(table.select("word", "n", _word_ids(vocabulary)("word").alias("ids")))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    frequent = table.filter(F.col("n") * FREQUENT > total).select("word", "ids")
-    tried = words.join(F.broadcast(frequent), "word", "left")
-    common = tried.filter(F.col("ids").isNotNull() | F.col("word").isNull())
-    rare = words.join(F.broadcast(frequent.select("word")), "word", "left_anti").filter("word is not null").join(
-        table.filter(F.col("n") * FREQUENT <= total).select("word", "ids"), "word"
-    )
-    placed = common.select("_key", "pos", "ids").unionByName(rare.select("_key", "pos", "ids"))
-    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))
-    out = placed.groupBy("_key").agg(F.sort_array(F.collect_set(pair)).alias("x"))
-    return out.select(F.col("_key").alias(key), F.flatten(F.col("x.ids")).alias("ids"))
+    spark = df.sparkSession
+    table = word_table(df, text, vocabulary)
+    common = table.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
+    docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+    placed = docs.select("_key", _placing(spark, common)(words_of(F.col("_text"))).alias("x")).select("_key", "x.*")
+    if common.num_rows < frequent:  # the table is whole
+        return placed.select(F.col("_key").alias(key), F.flatten("parts").alias("ids"))
+    placed = cut_lineage(placed)
+    seeking = placed.select("_key", F.posexplode("rare").alias("pos", "word")).join(table.select("word", "ids"), "word")
+    back = seeking.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("back"))
+    on = F.col("_key").eqNullSafe(F.col("_k"))
+    whole = placed.filter(F.size("rare") == 0).select("_key", F.flatten("parts").alias("ids"))
+    none = F.array().cast("array<int>")
+    patched = placed.filter(F.size("rare") > 0).join(back.withColumnRenamed("_key", "_k"), on)
+    patched = patched.select("_key", F.flatten(F.zip_with("parts", F.col("back.ids"), lambda p, r: F.concat(p, F.coalesce(r, none)))).alias("ids"))
+    return whole.unionByName(patched).select(F.col("_key").alias(key), "ids")
 
 
 @lru_cache(maxsize=2)
@@ -91,3 +129,11 @@ def decode_corpus(encoded: DataFrame, *, key: str, ids: str = "ids", vocabulary:
 def p8_ids(spark, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(load(spark, sf_dir, "documents", "doc_id", "text"), key="doc_id", text="text")
+
+
+def p8_texts(spark, sf_dir: str) -> DataFrame:
+    """The text of every document, decoded from its token ids."""
+    return decode_corpus(p8_ids(spark, sf_dir), key="doc_id")
+
+
+TEXTS_SQL = "select distinct doc_id, coalesce(text, '') as text from documents"

@@ -20,6 +20,7 @@ QUERIES = {
     "p7_found": (turns.p7_found, None),
     "p7_turns": (turns.p7_turns, None),
     "p8_ids": (encode.p8_ids, None),
+    "p8_texts": (encode.p8_texts, encode.TEXTS_SQL),
     "p9_mix": (mixing.p9_mix, None),
     "p9_shares": (mixing.p9_shares, None),
     "p9_sequence": (mixing.p9_sequence, None),
