@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -44,11 +45,16 @@ SAMPLE_LINES = 12000
 #: Log odds against clean text from which a line counts as garbled before it is verified, and where it can't be inverted.
 ODDS, ODDS_UTF8, ODDS_LOST = 4.0, -6.0, 12.0
 _LOST = "�"
+#: Lines weighed at once, and bigrams: the arrays take some hundred numbers for each.
+LINES, SLICE = 1 << 13, 1 << 16
+
+
+codecs.register_error("tidewater-ff", lambda e: (b"\xff" * (e.end - e.start), e.end))
 
 
 @lru_cache(maxsize=None)
-def _table(encoding: str) -> tuple[dict[int, int], list[str]] | None:
-    """For a single-byte encoding its code points by byte and back, undefined bytes standing for themselves."""
+def _table(encoding: str) -> tuple[dict[int, int], str] | None:
+    """For a single-byte encoding its bytes by code point and its characters, undefined bytes standing for themselves."""
     if encoding in ("utf-8", "gbk", "big5", "cp932", "euc-jp", "cp949"):
         return None
     chars = []
@@ -57,7 +63,7 @@ def _table(encoding: str) -> tuple[dict[int, int], list[str]] | None:
             chars.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
             chars.append(chr(b))
-    return {ord(c): b for b, c in reversed(list(enumerate(chars)))}, chars
+    return {ord(c): b for b, c in reversed(list(enumerate(chars)))}, "".join(chars)
 
 
 def _to_bytes(text: str, encoding: str, errors: str = "strict") -> bytes:
@@ -65,21 +71,12 @@ def _to_bytes(text: str, encoding: str, errors: str = "strict") -> bytes:
     table = _table(encoding)
     if table is None:
         return text.encode(encoding, errors)
-    out = bytearray()
-    for c in text:
-        b = table[0].get(ord(c))
-        if b is None:
-            if errors == "strict":
-                raise UnicodeEncodeError(encoding, c, 0, 1, "no such byte")
-            b = 0xFF if errors == "replace" else None
-        if b is not None:
-            out.append(b)
-    return bytes(out)
+    return codecs.charmap_encode(text, "tidewater-ff" if errors == "replace" else errors, table[0])[0]
 
 
 def _to_text(data: bytes, encoding: str, errors: str = "strict") -> str:
     table = _table(encoding)
-    return data.decode(encoding, errors) if table is None else "".join([table[1][b] for b in data])
+    return data.decode(encoding, errors) if table is None else codecs.charmap_decode(data, errors, table[1])[0]
 
 
 def garble(text: str, chain: list[tuple[str, str]]) -> str | None:
@@ -162,9 +159,13 @@ class Model:
         counts = counts.astype(np.float64) + 0.02
         self.logp = np.log(counts / counts.sum(axis=0)).astype(np.float32)
         self.chain = np.array(self.chain)
-        self.clean = np.flatnonzero(self.chain == 0)
-        self.best = self.logp[:, self.chain > 0].max(axis=1) if (self.chain > 0).any() else np.full(BUCKETS, -30.0, np.float32)
-        self.plain = np.ascontiguousarray(self.logp[:, self.clean])
+        order = np.argsort(self.chain, kind="stable")  # the classes of a chain side by side, clean ones first
+        self.chain, self.logp = self.chain[order], np.ascontiguousarray(self.logp[:, order])
+        self.first = np.flatnonzero(np.diff(self.chain, prepend=-1))
+        self.kinds = self.chain[self.first][1:]
+        self.plain = np.ascontiguousarray(self.logp[:, self.chain == 0])
+        #: Odds from which a chain is tried: that text is valid UTF-8 in the wrong encoding is strong evidence by itself.
+        self.tried = np.array([ODDS_UTF8 if CHAINS[k - 1][0][0] == "utf-8" else 0.0 for k in self.kinds])
 
     def inspect(self, lines: list[str]) -> list[tuple[int, str | None] | None]:
         """For each line None if it is clean, else its chain's number and the original text if that could be verified."""
@@ -175,31 +176,39 @@ class Model:
         out: list[tuple[tuple[int, str | None] | None, dict[int, tuple[float, str]]]] = [(None, {})] * len(lines)
         if not lines:
             return out
-        ids, starts = _bigrams(lines)
-        # No chain can beat clean text where even the best chain of every single bigram does not.
-        bound = _sums(self.plain[ids], starts).max(axis=1) - _sums(self.best[ids], starts)
-        ends = np.append(starts, len(ids))
-        for i in np.flatnonzero((bound < -ODDS_UTF8) | np.array([_LOST in x for x in lines])):
-            own = self.logp[ids[ends[i] : ends[i + 1]]].sum(axis=0)
-            if not lines[i].isspace():
-                weak: dict[int, tuple[float, str]] = {}
-                out[i] = self._verify(lines[i], own, ends[i + 1] - ends[i], weak), weak
+        for lo in range(0, len(lines), LINES):
+            part = lines[lo : lo + LINES]
+            ids, starts = _bigrams(part)
+            sizes = np.diff(np.append(starts, len(ids)))
+            own, odds = self._odds(ids, np.repeat(np.arange(len(part)), sizes), len(part))
+            for i in np.flatnonzero((odds >= self.tried).any(axis=1) | np.array([_LOST in x for x in part])).tolist():
+                if not part[i].isspace():
+                    weak: dict[int, tuple[float, str]] = {}
+                    out[lo + i] = self._verify(part[i], float(own[i]), odds[i], int(sizes[i]), weak), weak
         return out
 
+    def _odds(self, ids: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each line as clean text, and the log odds of every chain against that."""
+        score = np.zeros((lines, len(self.chain)))
+        for lo in range(0, len(ids), SLICE):
+            at = line[lo : lo + SLICE]
+            firsts = np.flatnonzero(np.diff(at, prepend=-1))
+            score[at[firsts]] += np.add.reduceat(self.logp[ids[lo : lo + SLICE]], firsts, axis=0)
+        best = np.maximum.reduceat(score, self.first, axis=1)
+        return best[:, 0], best[:, 1:] - best[:, :1]
+
     def _fit(self, text: str) -> float:
         """Log likelihood as clean text of the script it suits best; ASCII counts as perfectly clean."""
         ids, _ = _bigrams([text])
         return float(self.plain[ids].sum(axis=0).max()) if len(ids) else 0.0
 
-    def _verify(self, line: str, score: np.ndarray, size: int, weak: dict[int, tuple[float, str]]) -> tuple[int, str | None] | None:
-        own = float(score[self.clean].max())
-        chains = list(dict.fromkeys(int(self.chain[j]) for j in np.argsort(-score) if self.chain[j]))
-        odds = {k: float(score[self.chain == k].max()) - own for k in chains[:8]}
-        for k, x in odds.items():
+    def _verify(self, line: str, own: float, odds: np.ndarray, size: int, weak: dict[int, tuple[float, str]]) -> tuple[int, str | None] | None:
+        ranked = np.argsort(-odds, kind="stable").tolist()
+        for j in ranked:
+            x, k = float(odds[j]), int(self.kinds[j])
             chain = CHAINS[k - 1]
-            # That a text happens to be valid UTF-8 in the wrong encoding is strong evidence by itself.
             sure = chain[0][0] == "utf-8"
-            if x < (ODDS_UTF8 if sure else 0) or _LOST in line:
+            if x < self.tried[j] or _LOST in line:
                 continue
             back = _invert_parts(line, chain)
             if back and back != line and _LOST not in back and not _controls(back):
@@ -209,11 +218,10 @@ class Model:
                 # An original that reads no better is no evidence of its own, but goes with a chain proven by other lines.
                 if not sure:
                     weak[k - 1] = max(0.0, min(x, gain)), back
-        if not chains:
-            return (len(CHAINS) - 3, None) if _LOST in line else None
         if _LOST in line:
-            return chains[0] - 1, None
-        for k, x in odds.items():
+            return int(self.kinds[ranked[0]]) - 1 if ranked else len(CHAINS) - 3, None
+        for j in ranked:
+            x, k = float(odds[j]), int(self.kinds[j])
             if x > ODDS_LOST and x > 0.4 * size and _losing(CHAINS[k - 1]) and _loosely(line, CHAINS[k - 1]):
                 return k - 1, None
         return None
