@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidewater.llm.mojibake import CHAINS, garble
 from tidewater.llm.sampling import bounded_sample
-from tidewater.llm.text import LOOKALIKES, canonical, osa, wordless
+from tidewater.llm.text import LOOKALIKES, canonical, osa, per_distinct, wordless
 from tidewater.tables import cut_lineage, load
 
 LANGS = ["zh", "en", "ja", "es", "fr", "de", "ru"]
@@ -38,8 +38,12 @@ FEATURES = 1 << 17
 SAMPLE_DOCS = 1500
 #: n-grams overlap, so a text's log likelihood counts only in part.
 TEMPER = 0.35
-#: Grid on which a segment's log odds between its two likeliest languages are kept.
-STEP, STEPS = 0.25, 64
+#: Grid on which the log odds of a segment's likeliest language against each language are kept, a hexadecimal digit each.
+LEVELS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 11.0, 16.0]
+ODDS = [float(np.exp(-(a + b) / 2)) for a, b in zip(LEVELS, LEVELS[1:])] + [1e-9]
+ODDS[0] = 1.0
+#: Letters of a segment from which on its letters count in full; a few may be a loanword or a name.
+FULL = 12
 CYCLES = 25
 #: Characters worked on at once; the arrays take some fifty bytes for each.
 SLICE = 1 << 19
@@ -158,9 +162,6 @@ class Model:
                 if len(firsts):
                     ll[where[firsts]] += np.add.reduceat(part, firsts, axis=0)
         letters = np.bincount(seg[chars != 32], minlength=len(owner)) if len(owner) else np.zeros(0, np.int64)
-        # One to three Latin letters are nobody's language.
-        other = np.bincount(seg[chars >= 0x250], minlength=len(owner)) if len(owner) else letters
-        letters = np.where((letters < 4) & (other == 0), 0, letters)
         if not split and len(owner) < len(texts):  # empty texts have no segment of their own
             full = np.zeros((len(texts), 8))
             n = np.zeros(len(texts), np.int64)
@@ -187,15 +188,13 @@ class Model:
         ll, owner, letters = ll[keep], owner[keep], letters[keep]
         if not len(ll):
             return np.zeros(0, np.int64), owner
-        two = np.argpartition(-ll, 1, axis=1)[:, :2]
-        a, b = np.take_along_axis(ll, two, axis=1).T
-        swap = b > a
-        best, second = np.where(swap, two[:, 1], two[:, 0]), np.where(swap, two[:, 0], two[:, 1])
+        best = ll.argmax(axis=1)
+        gap = ll[np.arange(len(ll)), best][:, None] - ll
         # A few letters may be a loanword: between languages of one script they count for less.
-        latin = np.isin(best, LATIN) & np.isin(second, LATIN)
-        sure = np.where(latin, np.minimum(1.0, letters / 12), 1.0)
-        gap = np.minimum(STEPS - 1, np.abs(a - b) * sure / STEP).astype(np.int64)
-        return (best * 8 + second) * STEPS + gap, owner
+        latin = np.isin(best, LATIN)
+        gap[:, LATIN] *= np.where(latin, np.minimum(1.0, letters / FULL), 1.0)[:, None]
+        level = np.searchsorted(LEVELS, gap, "right") - 1
+        return (level << (4 * np.arange(7))).sum(axis=1), owner
 
 
 def _disguise(text: str) -> str:
@@ -206,35 +205,36 @@ def _disguise(text: str) -> str:
 def mixtures(entity: np.ndarray, code: np.ndarray, count: np.ndarray, entities: int) -> tuple[np.ndarray, np.ndarray]:
     """Language proportions of each entity by expectation-maximisation, and the number of segments.
 
-    Segments come as counts of codes. A language whose part explains the segments hardly better than the others would,
-    by less than a penalty that grows with their number, is taken out and the rest is fitted again.
+    Segments come as counts of codes, those of an entity side by side. A language whose part explains the segments
+    hardly better than the others would, by less than a penalty that grows with their number, is taken out and the rest
+    is fitted again.
     """
-    best, second, odds = code // (8 * STEPS), code // STEPS % 8, np.exp(-STEP * (code % STEPS))
-    odds = np.where(code % STEPS == STEPS - 1, 1e-9, odds)
+    odds = np.array(ODDS)[code[:, None] >> (4 * np.arange(7)) & 15]
     total = np.bincount(entity, count, entities)
-    allowed = np.ones((entities, 8))
-    allowed[:, 7] = 0
-    pi = np.full((entities, 8), 1 / 7) * allowed
+    firsts = np.flatnonzero(np.diff(entity, prepend=-1))
+    there = entity[firsts]
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((entities, 7))
+        if len(firsts):
+            out[there] = np.add.reduceat(values, firsts, axis=0)
+        return out
 
     def fit(pi: np.ndarray) -> np.ndarray:
         for _ in range(CYCLES):
-            p, q = pi[entity, best], pi[entity, second] * odds
-            share = np.where(p + q > 0, p / np.maximum(p + q, 1e-300), 0.5)
-            new = np.bincount(entity * 8 + best, count * share, entities * 8) + np.bincount(entity * 8 + second, count * (1 - share), entities * 8)
-            new = new.reshape(entities, 8) * allowed
+            share = pi[entity] * odds
+            share *= (count / np.maximum(share.sum(axis=1), 1e-300))[:, None]
+            new = summed(share) * (pi > 0)
             pi = new / np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
         return pi
 
-    pi = fit(pi)
-    # Loss of log likelihood if a language weren't there: its segments fall to the other one they could be of.
-    p, q = pi[entity, best], pi[entity, second] * odds
-    mix = np.log(np.maximum(p + q, 1e-300))
-    loss = np.zeros(entities * 8)
-    for mine, other in ((best, np.maximum(q, 1e-12)), (second, np.maximum(p, 1e-12))):
-        loss += np.bincount(entity * 8 + mine, count * (mix - np.log(other)), entities * 8)
+    pi = fit(np.full((entities, 7), 1 / 7))
+    # Loss of log likelihood if a language weren't there: its segments fall to the others they could be of.
+    mine = pi[entity] * odds
+    mix = mine.sum(axis=1, keepdims=True)
+    loss = summed(count[:, None] * np.log(np.maximum(mix, 1e-300) / np.maximum(mix - mine, 1e-12)))
     penalty = np.log(total + 1) + 1.0
-    allowed *= (loss.reshape(entities, 8) >= penalty[:, None]) | (pi == pi.max(axis=1, keepdims=True))
-    pi = pi * allowed
+    pi = pi * ((loss >= penalty[:, None]) | (pi == pi.max(axis=1, keepdims=True)))
     return fit(pi / np.maximum(pi.sum(axis=1, keepdims=True), 1e-300)), total
 
 
@@ -324,10 +324,11 @@ def document_languages(df: DataFrame, *, key: str, text: str, model: Model) -> D
 def sequence_languages(df: DataFrame, *, keys: list[str], record: str, text: str, model: Model) -> tuple[DataFrame, DataFrame]:
     """The languages of sequences of segments, as (keys, lang, confidence, langs) and (keys, record, lang, confidence).
 
-    Per sequence only the counts of segment codes are gathered, at most a few thousand however long it is. A segment's
-    language follows from its own likelihoods and the proportions of its sequence, so a short or ambiguous segment
-    stands in the language of the sequence. Wordless segments, sound marks and segments of fewer than four Latin letters have no row and no vote; repeated rows
-    count once; an empty table gives no rows; other columns are not read.
+    Per sequence only the counts of segment codes are gathered, whose number is bounded by the grid, however long the
+    sequence is. A segment's language follows from its own likelihoods in all languages and the proportions of its
+    sequence, so a short or ambiguous segment stands in the language of the sequence, with little confidence. Wordless
+    segments and sound marks have no row and no vote; repeated rows count once; an empty table gives no rows; other
+    columns are not read.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
     code = segment_udf(df.sparkSession, model)
@@ -339,14 +340,12 @@ def sequence_languages(df: DataFrame, *, keys: list[str], record: str, text: str
     names = F.array(*map(F.lit, LANGS))
     on = [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in ks]
     side = whole.select(*(F.col(k).alias(f"s{k}") for k in ks), "v")
-    best, second = F.floor(F.col("code") / (8 * STEPS)).cast("int"), (F.floor(F.col("code") / STEPS) % 8).cast("int")
-    gap = F.col("code") % STEPS
-    odds = F.when(gap == STEPS - 1, 1e-9).otherwise(F.exp(-STEP * gap))
     # The proportions are smoothed a little: any segment may be in any language.
-    p = F.get("v.shares", best) + 0.003
-    q = (F.get("v.shares", second) + 0.003) * odds
-    parts = rows.join(side, on).select(
-        *ks, "_r", F.col("v.lang").alias("whole"), F.get(names, F.when(p >= q, best).otherwise(second)).alias("lang"), (F.greatest(p, q) / (p + q)).alias("confidence")
+    table = F.array(*map(F.lit, ODDS))
+    each = F.array(*((F.get("v.shares", F.lit(i)) + 0.003) * F.get(table, F.shiftright("code", 4 * i).bitwiseAND(15)) for i in range(7)))
+    parts = rows.join(side, on).withColumn("p", each).select(
+        *ks, "_r", F.col("v.lang").alias("whole"), F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int")).alias("lang"),
+        (F.array_max("p") / F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).alias("confidence"),
     )
     back = [F.col(a).alias(k) for k, a in zip(keys, ks)]
     return (
@@ -355,22 +354,43 @@ def sequence_languages(df: DataFrame, *, keys: list[str], record: str, text: str
     )
 
 
-def phrase_like(text: str, phrases: list[str], slips: int = 2) -> bool:
-    """Whether a text is one of the phrases up to case, punctuation, a few trailing signs and lost or changed letters."""
-    form = "".join(c for c in canonical(text) if c.isalnum())
-    for p in phrases:
-        if p in form and len(p) * 2 > len(form) or abs(len(p) - len(form)) <= slips and osa(p, form, slips) <= slips:
-            return True
-    return False
+class Phrases:
+    """Tells texts that are one of a few phrases, up to case, punctuation, more signs than half or lost or changed letters.
+
+    A text longer than twice the longest phrase can be none, so texts of any length are told exactly.
+    """
+
+    def __init__(self, phrases: list[str], slips: int = 2) -> None:
+        self.slips, self.of_length = slips, {}
+        for p in {"".join(c for c in canonical(p) if c.isalnum()) for p in phrases}:
+            self.of_length.setdefault(len(p), []).append(p)
+        self.longest = max(self.of_length, default=0)
+
+    def like(self, text: str) -> bool:
+        form = "".join(c for c in canonical(text) if c.isalnum())
+        if len(form) >= max(2 * self.longest, self.longest + self.slips + 1):
+            return False
+        for n, same in self.of_length.items():
+            if n * 2 > len(form) and any(p in form for p in same):
+                return True
+            if abs(n - len(form)) <= self.slips and any(osa(p, form, self.slips) <= self.slips for p in same):
+                return True
+        return False
+
+
+#: Phrases beyond which a table is no configuration that may be sent to every executor.
+MOST_PHRASES = 20_000
 
 
-def phrase_udf(spark, phrases: list[str]):
-    shared = spark.sparkContext.broadcast(["".join(c for c in canonical(p) if c.isalnum()) for p in phrases])
-    longest = max(map(len, phrases), default=0) + 12
+def phrase_udf(spark, phrases: DataFrame, text: str = "text"):
+    known = [r[0] for r in phrases.select(text).filter(F.col(text).isNotNull()).limit(MOST_PHRASES + 1).collect()]
+    if len(known) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    shared = spark.sparkContext.broadcast(Phrases(known))
 
     @F.arrow_udf(T.BooleanType())
     def like(texts: pa.Array) -> pa.Array:
-        return pa.array([x is not None and len(x) <= longest and phrase_like(x, shared.value) for x in texts.to_pylist()], pa.bool_())
+        return per_distinct(texts, shared.value.like, pa.bool_())
 
     return like
 
@@ -407,12 +427,12 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     wrong = ~named("language").eqNullSafe(F.col("lang"))
     headed = heads.join(tracks, ["id", "part", "track"]).filter(wrong).select(F.lit("transcripts").alias("tab"), F.col("transcript_id").alias("row_id"), "lang")
     # A catchphrase, a fixed small table, stands in the language of its track.
-    phrases = [r.text for r in load(spark, sf_dir, "catchphrases", "text").collect()]
+    like = phrase_udf(spark, load(spark, sf_dir, "catchphrases", "text"))
     odd = parts.filter("lang <> whole").select("cue_id", "lang")
     texts = load(spark, sf_dir, "cues", "cue_id", "text")
     # The condition names a column of either side, else it would be worked out for every cue, below the join.
     odd_text = F.when(F.col("lang").isNotNull(), F.col("text"))
-    odd = odd.join(texts, "cue_id").distinct().filter(~phrase_udf(spark, phrases)(odd_text))
+    odd = odd.join(texts, "cue_id").distinct().filter(~F.coalesce(like(odd_text), F.lit(False)))
     odd = odd.select(F.lit("cues").alias("tab"), F.col("cue_id").alias("row_id"), "lang")
     documents = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
     language = document_udf(spark, model)
