@@ -84,7 +84,7 @@ def encode_corpus(df: DataFrame, *, key: str, text: str, vocabulary: str = VOCAB
 
     The words are split in Spark and each distinct word is encoded once. The ids of the ``frequent`` most frequent words
     are broadcast, a table of a bounded number of rows, and set in place without moving a text. The other words, none of
-    which is hot, are joined by their hash and come back by position: a text travels only if it holds one.
+    which is hot, are joined by their hash and come back by position; a text travels once, to where its key belongs.
 
     Defined results: NULL and empty text give an empty list; marker strings in a text are plain text; repeated rows of
     a key give one row; an empty table gives no rows; other columns, whatever their names, are not read.
@@ -92,19 +92,18 @@ def encode_corpus(df: DataFrame, *, key: str, text: str, vocabulary: str = VOCAB
     spark = df.sparkSession
     table = word_table(df, text, vocabulary)
     common = table.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
-    docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
-    placed = docs.select("_key", _placing(spark, common)(words_of(F.col("_text"))).alias("x")).select("_key", "x.*")
+    # A key in a struct equals itself even if it is NULL. All that follows keeps the partitioning of the texts by key.
+    docs = df.select(F.struct(F.col(key).alias("k")).alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+    place = _placing(spark, common)
+    placed = lambda rows, *also: rows.select("_key", place(words_of(F.col("_text"))).alias("x"), *also).select("_key", "x.*", *also)
     if common.num_rows < frequent:  # the table is whole
-        return placed.select(F.col("_key").alias(key), F.flatten("parts").alias("ids"))
-    placed = cut_lineage(placed)
-    seeking = placed.select("_key", F.posexplode("rare").alias("pos", "word")).join(table.select("word", "ids"), "word")
+        return placed(docs).select(F.col("_key.k").alias(key), F.flatten("parts").alias("ids"))
+    seeking = placed(docs).select("_key", F.posexplode("rare").alias("pos", "word")).join(table.select("word", "ids"), "word")
     back = seeking.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("back"))
-    on = F.col("_key").eqNullSafe(F.col("_k"))
-    whole = placed.filter(F.size("rare") == 0).select("_key", F.flatten("parts").alias("ids"))
     none = F.array().cast("array<int>")
-    patched = placed.filter(F.size("rare") > 0).join(back.withColumnRenamed("_key", "_k"), on)
-    patched = patched.select("_key", F.flatten(F.zip_with("parts", F.col("back.ids"), lambda p, r: F.concat(p, F.coalesce(r, none)))).alias("ids"))
-    return whole.unionByName(patched).select(F.col("_key").alias(key), "ids")
+    found = F.coalesce(F.col("back.ids"), F.array().cast("array<array<int>>"))
+    ids = F.flatten(F.zip_with("parts", found, lambda p, r: F.concat(p, F.coalesce(r, none))))
+    return placed(docs.join(back, "_key", "left"), "back").select(F.col("_key.k").alias(key), ids.alias("ids"))
 
 
 @lru_cache(maxsize=2)
