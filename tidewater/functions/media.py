@@ -68,6 +68,16 @@ def gift_value(coin_type: Column, coins: Column) -> Column:
     return F.when(coin_type == "gold", F.round(coins / 1000, 2)).otherwise(0.0)
 
 
+def guard_level(level: Column) -> Column:
+    """Level of a guard, 3 for anything but 1 to 3."""
+    return F.when(level.between(1, 3), level).otherwise(3)
+
+
+def lrc_text(text: Column) -> Column:
+    """Text on one line, with full-width brackets, so that none is taken for a stamp."""
+    return F.translate(F.regexp_replace(text, "[\r\n]+", " "), "[]", "［］")
+
+
 def poster_hash(member: Column) -> Column:
     """The hash a comment shows of its poster: CRC-32 of the member number's digits."""
     return F.crc32(member.cast("string"))
@@ -92,6 +102,6 @@ def contained_path(path: Column) -> Column:
 
 def lrc_stamp(seconds: Column) -> Column:
     """``[mm:ss.cc]`` in whole centiseconds."""
-    ticks = F.round(seconds * 100).cast("bigint")
-    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    ticks = F.bround(seconds * 100).cast("bigint")
+    two = lambda x: F.lpad(F.floor(x).cast("string"), F.greatest(F.lit(2), F.length(F.floor(x).cast("string"))), F.lit("0"))
     return F.concat(F.lit("["), two(ticks / 6000), F.lit(":"), two((ticks % 6000) / 100), F.lit("."), two(ticks % 100), F.lit("]"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The punctuation that quality metrics count, and the signs stripped from the edges of comparison keys.
-PUNCTUATION = "，。！？、；：,.!?;:…—"
+# The punctuation that quality metrics count, the signs stripped from the edges of comparison keys, the
+# white space and digits beyond ASCII, and the characters a file name must not hold.
+PUNCTUATION = "。，、！？；：「」『』（）《》〈〉【】—…·.,!?;:\"'()[]{}<>-"
 EDGE = "，。！？、!?.,:：…—-()（）\"'"
+SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+DIGITS = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
+#: The punctuation as a class of a regular expression.
+PUNCTUATION_CLASS = "[" + "".join("\\" + c if c in "[]-" else c for c in PUNCTUATION) + "]"
 
 
 def clock(seconds: Column) -> Column:
@@ -35,10 +40,10 @@ def file_name(text: Column) -> Column:
 
 
 def comparison_key(text: Column, fold: bool = True) -> Column:
-    """Text without white space and without punctuation at its edges; with ``fold`` in small letters and without ``*``,
-    else without ``;`` at its edges."""
+    """Text without white space and without punctuation, ``;`` with it, at its edges; with ``fold`` in small letters and
+    without ``*`` at its edges too."""
     bare = F.regexp_replace(text, r"[\s　]+", "")
-    trimmed = F.trim(bare, F.lit(EDGE + ("*" if fold else ";")))
+    trimmed = F.trim(bare, F.lit(EDGE + (";*" if fold else ";")))
     return F.lower(trimmed) if fold else trimmed
 
 
@@ -83,6 +88,16 @@ def join_words(words: Column) -> Column:
     return F.regexp_replace(F.aggregate(F.filter(words, lambda w: w.isNotNull()), F.lit(""), step), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+# Fixed value: what a caption's track key looks like, behind the mark of machine-made tracks.
+LANGUAGE_KEY = "^[a-z]{2,3}(-[A-Za-z]{2,8})*$"
+
+
+def track_kind(key: Column) -> Column:
+    """``auto-sub`` or ``human-sub`` by a track's key; NULL for a key that is no caption's."""
+    made = key.startswith("ai-")
+    return F.when(made, F.when(language_of_key(key).rlike(LANGUAGE_KEY), "auto-sub")).when(key.rlike(LANGUAGE_KEY), "human-sub")
+
+
 def language_of_key(key: Column) -> Column:
     """The language of a track key: without the mark of machine-made tracks."""
     return F.regexp_replace(key, "^ai-", "")
@@ -98,8 +113,9 @@ def clean_tag(tag: Column) -> Column:
 
 
 def masked(secret: Column) -> Column:
-    """A credential that can be shown: its first and last four characters, or nothing of a short one."""
-    return F.when(F.length(secret) <= 8, "***").otherwise(F.concat(F.substring(secret, 1, 4), F.lit("…"), F.right(secret, F.lit(4))))
+    """A credential that can be shown: its first and last four characters, nothing of a short one, ``<none>`` if there is none."""
+    shown = F.concat(F.substring(secret, 1, 4), F.lit("..."), F.right(secret, F.lit(4)))
+    return F.when(secret.isNull() | (secret == ""), "<none>").when(F.length(secret) <= 8, "***").otherwise(shown)
 
 
 def redacted(text: Column) -> Column:
@@ -110,10 +126,14 @@ def redacted(text: Column) -> Column:
 
 
 def json_array_in(text: Column) -> Column:
-    """The outermost JSON array of strings in a model's answer, thoughts left out; an empty array if there is none."""
-    spoken = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    found = F.regexp_extract(spoken, r"(?s)\[.*\]", 0)
-    return F.coalesce(F.from_json(found, "array<string>"), F.array().cast("array<string>"))
+    """The lines {text, count} of the outermost JSON array in a model's answer, behind its first thought; a count that is
+    missing is 1. An empty array if there is none or it is no JSON."""
+    thought = F.regexp_extract(text, r"(?s)^(.*?)<think>.*?</think>", 0)
+    kept = F.regexp_extract(text, r"(?s)^(.*?)<think>.*?</think>", 1)
+    spoken = F.when(thought != "", F.concat(kept, F.substring(text, F.length(thought) + 1, F.length(text)))).otherwise(text)
+    found = F.from_json(F.regexp_extract(spoken, r"(?s)\[.*\]", 0), "array<struct<text:string,count:int>>", {"mode": "PERMISSIVE"})
+    lines = F.transform(found, lambda x: F.struct(x["text"].alias("text"), F.coalesce(x["count"], F.lit(1)).alias("count")))
+    return F.coalesce(lines, F.array().cast("array<struct<text:string,count:int>>"))
 
 
 def labelled_part(text: Column, label: str, stop: str | None) -> Column:

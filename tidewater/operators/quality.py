@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import PUNCTUATION, cjk_count, comparison_key, count_class
+from tidewater.functions.text import DIGITS, PUNCTUATION_CLASS, SPACES, cjk_count, comparison_key, count_class
 
 # Thresholds of the gates, and words by which a request to act is recognised.
 GATE = {"punct_min": 0.04, "dup_max": 0.30, "nonzh_max": 0.20, "cps_min": 1.0, "cps_max": 8.0, "foreign_cps_max": 40.0}
 NET = {"min_cues": 5, "coverage_min": 0.70, "coverage_max": 1.10, "cps_min": 0.5}
 REPEAT, RUN = 0.40, 5
-DISTRUST = "(?i)delete|upload|post|send|删除|上传|发送"
+DISTRUST = "(?i)send|post|like|click|publish|modify|delete|bag_send|comment|share"
 
 
 def track_metrics(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per track the counts all gates work from, in a single aggregation."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    punct, digits, cjk, spaces = count_class(t, f"[{PUNCTUATION}]"), count_class(t, "[0-9]"), cjk_count(t), count_class(t, "[\\s　]")
+    punct, digits, cjk, spaces = count_class(t, PUNCTUATION_CLASS), count_class(t, DIGITS), cjk_count(t), count_class(t, SPACES)
     return cues.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_distinct(t).alias("distinct_texts"), F.sum(F.length(t)).alias("chars"), F.sum(punct).alias("punct"),
         F.sum(digits).alias("digits"), F.sum(cjk).alias("cjk"), F.sum(spaces).alias("spaces"), F.max("end").alias("last_end"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.python import sequence_ratio
 from tidewater.functions.text import bare, clock, comparison_key, neutral_markdown, source_key, stripped
-from tidewater.operators import timeline
+from tidewater.operators import authors, timeline
 from tidewater.plans.base import query, records
 from tidewater.tables import load
 
@@ -101,13 +101,14 @@ def bundle_unique_keys(spark, sf_dir: str) -> DataFrame:
         check(load(spark, sf_dir, "cues", "cue_id"), "cue", "cue_id"))
 
 
-@query("""with a as (select id, part, speaker, role from speakers), d as (select distinct seq, id, part, author from danmaku_raw where author is not null),
- r as (select id, part, min(case role when 'host' then 'owner' else 'staff' end) author from a group by all) select d.seq, coalesce(r.author, d.author) as author from d left join r using (id, part)""")
+@query("""with d as (select distinct seq, id, mid_hash, author from danmaku_raw), h as (select distinct seq, try_cast('0x' || mid_hash as ubigint) h from d where mid_hash <> ''),
+ p as (select id, h, min(author) author from d join h using (seq) where author is not null group by all) select d.seq, p.author from d left join h using (seq) left join p on p.id = d.id and p.h = h.h""")
 def join_author_roles(spark, sf_dir: str) -> DataFrame:
-    """Who may have posted a comment, an owner before staff; the roster is reduced to a row per page before the join."""
-    roles = load(spark, sf_dir, "speakers", "id", "part", "role").groupBy("id", "part").agg(F.min(F.when(F.col("role") == "host", "owner").otherwise("staff")).alias("said"))
-    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "author").filter("author is not null")
-    return rows.join(roles, ["id", "part"], "left").select("seq", F.coalesce("said", "author").alias("author"))
+    """Who may have posted a comment: its poster's hash against those of the video's owner and staff, here the hashes of
+    the comments known to be theirs. Hashes compare as numbers, and an owner wins over staff."""
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "mid_hash", "author")
+    people = rows.filter("author is not null").select("id", authors.hash_number(F.col("mid_hash")).alias("poster"), F.col("author").alias("role"))
+    return authors.classify_authors(rows.drop("author"), people, video="id", poster="mid_hash").select("seq", "author")
 
 
 @query("""select t.transcript_id, coalesce(v.page, case when n = 1 then sole1 end) as page from (select distinct transcript_id, id, part + 1 part from transcripts) t left join video_pages v on v.id = t.id and v.page = t.part
@@ -156,13 +157,25 @@ def screen_verdict(spark, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir, "frames", "id", "part", "ocr").groupBy("id", "part").agg(n.alias("sampled"), p.alias("positive"), ((n >= 3) & (p / n >= 0.40)).alias("burned_in"))
 
 
-@query("""with f as (select distinct id, part, ts from frames where ts is not null), c as (select id, part, floor(ts * 10)::bigint cell from f), n as (select id, page part, duration * 10 cells from video_pages where duration > 0),
- d as (select distinct id, part, cell // 60 b from c) select d.id, d.part, round(count(*) * 60 / n.cells, 4) as coverage from d join n using (id, part) group by d.id, d.part, n.cells""")
+_COVER = """n as (select id, page part, ceil(duration * 10)::bigint cells from video_pages where duration > 0),
+ c as (select distinct f.id, f.part, least(round_even(ts * 10, 0)::bigint, cells) s, least(round_even((ts + 6) * 10, 0)::bigint, cells) e, cells from frames f join n using (id, part) where ts is not null),
+ g as (select *, greatest(0, s - coalesce(max(e) over (partition by id, part order by s, e rows between unbounded preceding and 1 preceding), 0)) gap from c)"""
+
+
+@query(f"""with {_COVER} select id, part, round((cells - sum(gap) - (cells - max(e))) / cells, 4) as coverage, greatest(max(gap), cells - max(e)) / 10.0 as longest_gap from g group by id, part, cells""")
 def recording_coverage(spark, sf_dir: str) -> DataFrame:
-    """Share of a page's tenth-of-a-second cells that lie in a sampled window of six seconds."""
-    pages = load(spark, sf_dir, "video_pages", "id", "page", "duration").withColumnRenamed("page", "part").filter("duration > 0")
-    cells = records(spark, sf_dir, "frames", "id", "part", "ts").filter("ts is not null").select("id", "part", F.floor(F.floor(F.col("ts") * 10) / 60).alias("b")).distinct()
-    return cells.join(pages, ["id", "part"]).groupBy("id", "part", "duration").agg(F.count("*").alias("n")).select("id", "part", F.round(F.col("n") * 60 / (F.col("duration") * 10), 4).alias("coverage"))
+    """Share of a page's tenths of a second that lie in a matching window of six seconds, here one at every frame, and its
+    longest stretch without a match, in seconds; by the windows' ends, without a row per tenth."""
+    pages = load(spark, sf_dir, "video_pages", "id", "page", "duration").filter("duration > 0").select("id", F.col("page").alias("part"), F.ceil(F.col("duration") * 10).alias("cells"))
+    rows = records(spark, sf_dir, "frames", "id", "part", "ts").filter("ts is not null").join(pages, ["id", "part"])
+    cell = lambda x: F.least(F.bround(x * 10).cast("bigint"), F.col("cells"))
+    rows = rows.select("id", "part", "cells", cell(F.col("ts")).alias("s"), cell(F.col("ts") + 6).alias("e")).distinct()
+    before = F.max("e").over(Window.partitionBy("id", "part").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("gap", F.greatest(F.lit(0), F.col("s") - F.coalesce(before, F.lit(0))))
+    tail = F.col("cells") - F.max("e")
+    return rows.groupBy("id", "part", "cells").agg(
+        F.round((F.col("cells") - F.sum("gap") - tail) / F.col("cells"), 4).alias("coverage"), (F.greatest(F.max("gap"), tail) / 10.0).alias("longest_gap")
+    ).drop("cells")
 
 
 @query("""with t as (select distinct transcript_id, platform, part, robust, language from transcripts) select platform, max(case when language is null then 2 when not robust then 1 else 0 end) as worst, count(*) filter (where language is null) as errors,
@@ -189,11 +202,20 @@ def distinct_lines(spark, sf_dir: str) -> DataFrame:
     return rows.filter("line <> ''").groupBy("doc_id", "line").agg(F.min("pos").alias("pos"))
 
 
-@query("""with c as (select distinct cue_id, text from cues where text is not null) select cue_id, n from (select cue_id, (contains(text, 'OK'))::int + (contains(text, 'lol'))::int + (contains(text, '?'))::int + (contains(text, '！'))::int n from c) where n >= 2""")
+# The words of talk with an audience.
+CHAT = ["充电", "表情包", "舰长", "上舰", "super chat", "弹幕", "点歌", "直播间", "粉丝牌", "下播", "开播", "主播", "礼物", "麦克风", "歌单"]
+_CHAT = " + ".join(f"contains(lower(text), '{x}')::int" for x in CHAT)
+
+
+@query(f"""select kind, row_id, n, n >= 2 as suspect from (select kind, row_id, {_CHAT} n from (select distinct 'cue' kind, cue_id row_id, text from cues where text is not null
+ union select distinct 'danmaku', seq, text from danmaku_raw where text is not null)) where n > 0""")
 def review_suspects(spark, sf_dir: str) -> DataFrame:
-    """Lines with two or more of the signs of chat."""
-    n = sum((F.col("text").contains(x).cast("int") for x in ("OK", "lol", "?", "！")), F.lit(0))
-    return records(spark, sf_dir, "cues", "text").filter("text is not null").select("cue_id", n.alias("n")).filter("n >= 2")
+    """Lines with words of talk with an audience; from two different ones on they are suspected of being chat."""
+    n = sum((F.lower("text").contains(x).cast("int") for x in CHAT), F.lit(0))
+    cues = records(spark, sf_dir, "cues", "text").select(F.lit("cue").alias("kind"), F.col("cue_id").alias("row_id"), "text")
+    crowd = records(spark, sf_dir, "danmaku_raw", "text").select(F.lit("danmaku").alias("kind"), F.col("seq").alias("row_id"), "text")
+    rows = cues.unionByName(crowd).filter("text is not null").select("kind", "row_id", n.alias("n")).filter("n > 0")
+    return rows.withColumn("suspect", F.col("n") >= 2)
 
 
 @query(None)

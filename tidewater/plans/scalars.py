@@ -10,6 +10,7 @@ from tidewater.operators.quality import DISTRUST
 from tidewater.plans.base import query, records
 from tidewater.tables import load
 
+_PUNCT = text.PUNCTUATION_CLASS.replace("'", "''")
 _CUES = "(select distinct * from cues)"
 _URL = """(select id, page, 'https://www.video.example/video/' || id || '?from=list&p=' || page || '&t=3' url from video_pages)"""
 
@@ -54,20 +55,20 @@ def fn_hamming(spark, sf_dir: str) -> DataFrame:
     return rows.select("frame_id", text.hamming(text.phash_bits(F.col("phash")), text.phash_bits(F.col("before"))).alias("distance"))
 
 
-@query(rf"""select cue_id, length(text) as chars, len(regexp_extract_all(text, '[一-\x{{9fff}}]')) as cjk, len(regexp_extract_all(text, '[{text.PUNCTUATION}]')) as punctuation,
- len(regexp_extract_all(text, '[0-9]')) as digits, len(regexp_extract_all(text, '[\s　]')) as spaces from {_CUES}""")
+@query(rf"""select cue_id, length(text) as chars, len(regexp_extract_all(text, '[一-\x{{9fff}}]')) as cjk, len(regexp_extract_all(text, '{_PUNCT}')) as punctuation,
+ len(regexp_extract_all(text, '{text.DIGITS}')) as digits, len(regexp_extract_all(text, '{text.SPACES}')) as spaces from {_CUES}""")
 def fn_char_profile(spark, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return records(spark, sf_dir, "cues", "text").select(
-        "cue_id", F.length(c).alias("chars"), text.cjk_count(c).alias("cjk"), text.count_class(c, f"[{text.PUNCTUATION}]").alias("punctuation"),
-        text.count_class(c, "[0-9]").alias("digits"), text.count_class(c, "[\\s　]").alias("spaces"),
+        "cue_id", F.length(c).alias("chars"), text.cjk_count(c).alias("cjk"), text.count_class(c, text.PUNCTUATION_CLASS).alias("punctuation"),
+        text.count_class(c, text.DIGITS).alias("digits"), text.count_class(c, text.SPACES).alias("spaces"),
     )
 
 
 _EDGE = text.EDGE.replace("'", "''")
 
 
-@query(rf"""select cue_id, lower(trim(regexp_replace(text, '[\s　]+', '', 'g'), '{_EDGE}*')) as speech_key, trim(regexp_replace(text, '[\s　]+', '', 'g'), '{_EDGE};') as ocr_key from {_CUES}""")
+@query(rf"""select cue_id, lower(trim(regexp_replace(text, '[\s　]+', '', 'g'), '{_EDGE};*')) as speech_key, trim(regexp_replace(text, '[\s　]+', '', 'g'), '{_EDGE};') as ocr_key from {_CUES}""")
 def fn_comparison_keys(spark, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return records(spark, sf_dir, "cues", "text").select("cue_id", text.comparison_key(c).alias("speech_key"), text.comparison_key(c, False).alias("ocr_key"))
@@ -75,12 +76,12 @@ def fn_comparison_keys(spark, sf_dir: str) -> DataFrame:
 
 @query("""select transcript_id, regexp_replace(language, '^ai-', '') as track_language, split_part(language, '-', 1) as base,
  regexp_full_match(language, '[A-Za-z]+(-([A-Za-z]{4}|[A-Za-z]{2}|[0-9]{3}))*') as clean,
- case when regexp_matches(language, '^ai-') then 'auto-sub' when regexp_matches(language, '^[A-Za-z]{2}') then 'human-sub' end as kind from (select distinct * from transcripts)""")
+ case when starts_with(language, 'ai-') then case when regexp_full_match(substr(language, 4), '[a-z]{2,3}(-[A-Za-z]{2,8})*') then 'auto-sub' end
+  when regexp_full_match(language, '[a-z]{2,3}(-[A-Za-z]{2,8})*') then 'human-sub' end as kind from (select distinct * from transcripts)""")
 def fn_track_language(spark, sf_dir: str) -> DataFrame:
     tag = F.col("language")
-    kind = F.when(tag.rlike("^ai-"), "auto-sub").when(tag.rlike("^[A-Za-z]{2}"), "human-sub")
     return records(spark, sf_dir, "transcripts", "language").select(
-        "transcript_id", text.language_of_key(tag).alias("track_language"), text.base_language(tag).alias("base"), text.clean_tag(tag).alias("clean"), kind.alias("kind")
+        "transcript_id", text.language_of_key(tag).alias("track_language"), text.base_language(tag).alias("base"), text.clean_tag(tag).alias("clean"), text.track_kind(tag).alias("kind")
     )
 
 
@@ -126,13 +127,12 @@ def fn_gift_value(spark, sf_dir: str) -> DataFrame:
     return rows.select("seq", media.gift_value(F.col("coin_type"), F.col("total_coin")).alias("worth"))
 
 
-@query("""select seq, least(greatest(guard_level, 1), 3) as level, round(cny_value * 1000 / num, 3) as price, round(round(cny_value * 1000 / num, 3) * num / 1000, 2) as worth
+@query("""select seq, case when guard_level between 1 and 3 then guard_level else 3 end as level, round(cny_value * 1000 / num, 3) as price, round(round(cny_value * 1000 / num, 3) * num / 1000, 2) as worth
  from (select distinct * from live_events) where event_type = 'guard'""")
 def fn_guard_value(spark, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir, "live_events", "event_type", "guard_level", "cny_value", "num").filter("event_type = 'guard'")
     rows = rows.withColumn("price", F.round(F.col("cny_value") * 1000 / F.col("num"), 3))
-    level = F.least(F.greatest("guard_level", F.lit(1)), F.lit(3))
-    return rows.select("seq", level.alias("level"), "price", F.round(F.col("price") * F.col("num") / 1000, 2).alias("worth"))
+    return rows.select("seq", media.guard_level(F.col("guard_level")).alias("level"), "price", F.round(F.col("price") * F.col("num") / 1000, 2).alias("worth"))
 
 
 @query(None)
@@ -149,7 +149,7 @@ def fn_stage_key(spark, sf_dir: str) -> DataFrame:
     return rows.select("transcript_id", key.alias("stage_key"), F.sha2(F.concat_ws("|", "platform", "id", "part", "track"), 256).alias("identity"))
 
 
-@query("""select seq, case when length(secret) <= 8 then '***' else substr(secret, 1, 4) || '…' || right(secret, 4) end as masked,
+@query("""select seq, case when secret = '' then '<none>' when length(secret) <= 8 then '***' else substr(secret, 1, 4) || '...' || right(secret, 4) end as masked,
  'key [key] at [url] with bearer [token]' as redacted from (select distinct seq, coalesce(mid_hash, '') || substr(id, 1, part % 5) secret from danmaku_raw)""")
 def fn_redaction(spark, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir, "danmaku_raw", "mid_hash", "id", "part")
@@ -158,11 +158,15 @@ def fn_redaction(spark, sf_dir: str) -> DataFrame:
     return rows.select("seq", text.masked(secret).alias("masked"), text.redacted(leak).alias("redacted"))
 
 
-@query("""select cue_id, len(words) as n, coalesce(list_extract(words, 1), '') as first from (select cue_id, [coalesce(track, ''), cast(part as varchar)] words from (select distinct * from cues))""")
+@query("""select id, part, w, text, n::integer as n from (select id, part, floor(content_ts / 15)::bigint w, text, count(*) n from (select distinct seq, id, part, content_ts, text from danmaku_raw where text is not null and content_ts is not null) group by all)""")
 def fn_json_array(spark, sf_dir: str) -> DataFrame:
-    answer = F.concat(F.lit("<think>[no]</think>Here: "), F.to_json(F.array(F.coalesce("track", F.lit("")), F.col("part").cast("string"))), F.lit(" done"))
-    rows = records(spark, sf_dir, "cues", "track", "part").withColumn("words", text.json_array_in(answer))
-    return rows.select("cue_id", F.size("words").alias("n"), F.coalesce(F.get("words", F.lit(0)), F.lit("")).alias("first"))
+    """The lines of a window as a model would answer them, among its thoughts and remarks, read back."""
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text").filter("text is not null and content_ts is not null")
+    lines = rows.groupBy("id", "part", F.floor(F.col("content_ts") / 15).alias("w"), "text").agg(F.count("*").cast("int").alias("count"))
+    answers = lines.groupBy("id", "part", "w").agg(F.to_json(F.collect_list(F.struct("text", "count"))).alias("said"))
+    answer = F.concat(F.lit("<think>[no] <b></think>\nHere: "), "said", F.lit(" done"))
+    read = answers.select("id", "part", "w", F.explode(text.json_array_in(answer)).alias("x"))
+    return read.select("id", "part", "w", "x.text", F.col("x.count").alias("n"))
 
 
 @query("""select frame_id, nullif(trim(ocr), '') as ocr_text, nullif(trim(caption), '') as description from (select distinct * from frames)""")
@@ -184,11 +188,11 @@ def fn_contained_path(spark, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir, "frames", "path").select("frame_id", media.contained_path(F.col("path")).alias("safe"), out)
 
 
-@query("""select cue_id, '[' || lpad(cast(t // 6000 as varchar), 2, '0') || ':' || lpad(cast(t % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast(t % 100 as varchar), 2, '0') || ']' || translate(text, '[]', '()') as line
- from (select distinct cue_id, text, cast(round("start" * 100) as bigint) t from cues where text is not null and not contains(text, chr(10)))""")
+@query("""select cue_id, '[' || lpad(cast(t // 6000 as varchar), cast(greatest(2, length(cast(t // 6000 as varchar))) as integer), '0') || ':' || lpad(cast(t % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast(t % 100 as varchar), 2, '0') || ']' || translate(regexp_replace(text, '[\r\n]+', ' ', 'g'), '[]', '［］') as line
+ from (select distinct cue_id, text, cast(round_even("start" * 100, 0) as bigint) t from cues where text is not null)""")
 def sink_lrc_lines(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "cues", "start", "text").filter("text is not null and not contains(text, '\n')")
-    return rows.select("cue_id", F.concat(media.lrc_stamp(F.col("start")), F.translate("text", "[]", "()")).alias("line"))
+    rows = records(spark, sf_dir, "cues", "start", "text").filter("text is not null")
+    return rows.select("cue_id", F.concat(media.lrc_stamp(F.col("start")), media.lrc_text(F.col("text"))).alias("line"))
 
 
 @query(f"""select cue_id, regexp_matches(text, '{DISTRUST}') as acts from {_CUES} where text is not null""")

@@ -99,7 +99,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     return plain.select("id", "part", "w", "text", "n", "ts", "seq", F.lit(False).alias("elevated")).unionByName(raised.select("id", "part", "w", "text", "n", "ts", "seq", F.lit(True).alias("elevated")))
 
 
-_KEY = r"lower(trim(regexp_replace(text, '[\s　]+', '', 'g'), '，。！？、!?.,:：…—-()（）\"''*'))"
+_KEY = r"lower(trim(regexp_replace(text, '[\s　]+', '', 'g'), '，。！？、!?.,;:：…—-()（）\"''*'))"
 _LINES = f"""{_CROWD}, p1 as (select id, part, w, {_KEY} k, text, count(*) n, min(content_ts) ts, min(seq) seq from dw where not elevated group by all),
  p2 as (select id, part, w, k, (array_agg(text order by n desc, seq))[1] text, sum(n)::bigint n, min(ts) ts, min(seq) seq from p1 group by all),
  ln as (select id, part, w, text, n, ts, seq, false elevated from p2 union all
@@ -114,12 +114,12 @@ def crowd_interleave(spark, sf_dir: str) -> DataFrame:
     return _lines(_crowd(spark, sf_dir)).select("id", "part", "w", F.row_number().over(order).alias("place"), "text", "n", "elevated")
 
 
-@query(f"""with {_LINES} select id, part, w, count(*) filter (where elevated or ordinary <= 3) as shown, greatest(0, count(*) filter (where not elevated) - 3) as more from od group by all""")
+@query(f"""with {_LINES} select id, part, w, count(*) filter (where elevated or ordinary <= {CAP}) as shown, greatest(0, count(*) filter (where not elevated) - {CAP}) as more from od group by all""")
 def crowd_overflow_cap(spark, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("id", "part", "w").orderBy("ts", "elevated", "seq", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = _lines(_crowd(spark, sf_dir)).withColumn("ordinary", F.sum(F.when(F.col("elevated"), 0).otherwise(1)).over(order))
     return rows.groupBy("id", "part", "w").agg(
-        F.count_if(F.col("elevated") | (F.col("ordinary") <= 3)).alias("shown"), F.greatest(F.lit(0), F.count_if(~F.col("elevated")) - 3).alias("more")
+        F.count_if(F.col("elevated") | (F.col("ordinary") <= CAP)).alias("shown"), F.greatest(F.lit(0), F.count_if(~F.col("elevated")) - CAP).alias("more")
     )
 
 

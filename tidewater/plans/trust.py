@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.python import compatibility_fold, line_support, near_copy
-from tidewater.functions.text import PUNCTUATION, bare, base_language, clean_tag, join_words, phash_bits
+from tidewater.functions.text import DIGITS, PUNCTUATION_CLASS, SPACES, bare, base_language, clean_tag, join_words, phash_bits
 from tidewater.operators import folds, quality
 from tidewater.plans.base import query, records
 from tidewater.tables import load
 
 _TRACK = ["id", "part", "track"]
+_PUNCT = PUNCTUATION_CLASS.replace("'", "''")
 _METRICS = rf"""tx as (select distinct cue_id, id, part, track, pos, "end" e, coalesce(text, '') t from cues),
- mt as (select id, part, track, count(*) n, count(distinct t) d, sum(length(t)) chars, sum(len(regexp_extract_all(t, '[{PUNCTUATION}]'))) punct, sum(len(regexp_extract_all(t, '[0-9]'))) digits,
-  sum(len(regexp_extract_all(t, '[一-\x{{9fff}}]'))) cjk, sum(len(regexp_extract_all(t, '[\s　]'))) spaces, max(e) last_end from tx group by all),
+ mt as (select id, part, track, count(*) n, count(distinct t) d, sum(length(t)) chars, sum(len(regexp_extract_all(t, '{_PUNCT}'))) punct, sum(len(regexp_extract_all(t, '{DIGITS}'))) digits,
+  sum(len(regexp_extract_all(t, '[一-\x{{9fff}}]'))) cjk, sum(len(regexp_extract_all(t, '{SPACES}'))) spaces, max(e) last_end from tx group by all),
  hd as (select distinct transcript_id, id, part, track, language from transcripts),
  gm as (select hd.transcript_id, hd.track source, v.duration, coalesce(language <> '' and not contains(language, 'zh'), false) fgn, mt.*,
   case when chars > 0 then punct / chars else 0.0 end pd, (n - d) / n dr,
@@ -56,15 +57,24 @@ def gate_duration(spark, sf_dir: str) -> DataFrame:
     return ends.join(pages, ["id", "part"]).select(*_TRACK, (F.col("e") / F.col("duration")).between(0.70, 1.10).alias("sane"))
 
 
-@query("""select id, part, track, regexp_matches(string_agg(coalesce(text, ''), '' order by pos), '一直没说原因.{0,40}开始讲起') as marked from (select distinct id, part, track, pos, text from cues) group by all""")
+# The keys of Chinese tracks, and the marks that censorship leaves in them.
+CHINESE_KEYS = ["zh-Hans", "zh-CN", "zh", "ai-zh"]
+REDACTED = r"\*\*|XX|和[Xx]"
+
+
+@query(rf"""with w as (select id, part, track, string_agg(coalesce(text, ''), '' order by pos) body from (select distinct id, part, track, pos, text from cues) group by all)
+ select id, part, track, case when language in ('zh-Hans', 'zh-CN', 'zh', 'ai-zh') then nullif(regexp_extract(body, '{REDACTED}'), '') end as marker
+ from w join (select distinct id, part, track, language from transcripts) using (id, part, track)""")
 def gate_redaction_marker(spark, sf_dir: str) -> DataFrame:
-    """A marker may span cues: it is looked for in the whole text of a track."""
+    """The first mark of censorship in a Chinese track. It may span cues: it is looked for in the whole text of a track."""
     cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "text")
     whole = cues.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t")))).alias("x"))
-    return whole.select(*_TRACK, F.array_join("x.t", "").rlike("一直没说原因.{0,40}开始讲起").alias("marked"))
+    heads = records(spark, sf_dir, "transcripts", *_TRACK, "language").drop("transcript_id")
+    marker = F.nullif(F.regexp_extract(F.array_join("x.t", ""), REDACTED, 0), F.lit(""))
+    return whole.join(heads, _TRACK).select(*_TRACK, F.when(F.col("language").isin(CHINESE_KEYS), marker).alias("marker"))
 
 
-_REP = r"""k as (select id, part, track, pos, lower(trim(regexp_replace(coalesce(text, ''), '[\s　]+', '', 'g'), '，。！？、!?.,:：…—-()（）"''*')) k from (select distinct id, part, track, pos, text from cues)),
+_REP = r"""k as (select id, part, track, pos, lower(trim(regexp_replace(coalesce(text, ''), '[\s　]+', '', 'g'), '，。！？、!?.,;:：…—-()（）"''*')) k from (select distinct id, part, track, pos, text from cues)),
  c as (select id, part, track, k, count(*) c, min(pos) p0 from k group by all), tp as (select id, part, track, sum(c)::bigint n, max(c) most, (array_agg(k order by c desc, p0))[1] top from c group by all),
  g as (select *, row_number() over (partition by id, part, track order by pos) - row_number() over (partition by id, part, track, k order by pos) g from k),
  r as (select id, part, track, max(r) run from (select id, part, track, k, g, count(*) r from g where k <> '' group by all) group by all)"""
