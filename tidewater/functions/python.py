@@ -29,6 +29,37 @@ def word_fold(texts: pa.Array) -> pa.Array:
     return pa.array([re.sub(r"\W", "", x).casefold() for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
+def romanised(text: str) -> str:
+    """Kana as Latin letters by the names of their characters; other letters and digits as they are, the rest left out."""
+    out: list[str] = []
+    double = False
+    for c in unicodedata.normalize("NFKC", text).casefold():
+        name = unicodedata.name(c, "").split()
+        if name[:2] not in (["HIRAGANA", "LETTER"], ["KATAKANA", "LETTER"]):
+            out += c if c.isalnum() and "PROLONGED" not in " ".join(name) else ""
+            continue
+        sound = name[-1].lower()
+        if name[2] == "SMALL" and sound == "tu":
+            double = True
+        elif name[2] == "SMALL" and sound[0] == "y" and out and out[-1].endswith("i"):
+            out[-1] = out[-1][:-1] + sound
+        else:
+            out.append((sound[0] if double else "") + sound)
+            double = False
+    return "".join(out)
+
+
+#: How a text in a language is read aloud, in Latin letters; readers for other languages can be added.
+READERS = {"ja": romanised}
+
+
+@F.arrow_udf(T.StringType())
+def phonetic_key(texts: pa.Array, languages: pa.Array) -> pa.Array:
+    """By the reader of each text's language, else the folded text."""
+    said = zip(texts.to_pylist(), languages.to_pylist())
+    return pa.array([None if t is None else READERS.get(k, folded)(t) for t, k in said], pa.string())
+
+
 def ratio(a: str, b: str) -> float:
     """Share of matching characters of two keys: 0 if either is empty, 1 if they are equal."""
     if not a or not b:

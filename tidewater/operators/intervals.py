@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.tables import load, to_ms
+from tidewater.tables import cut_lineage, load, to_ms
 
 SHARD_MS = 262_144
 
@@ -18,12 +18,13 @@ def merge_intervals(
 ) -> DataFrame:
     """(keys, kind, start, end, shared) of the merged periods and of the gaps between them.
 
-    Time is discretised into exact units (BIGINT ``start`` and ``end``, half-open) and cut into shards. In each (entity,
-    shard) the union of the intervals is held as a compressed run bitmap: the sorted positions at which the number of
-    covering records changes, summed before the shuffle, so at most ``shard`` + 1 rows however many records there are.
-    A running sum turns them into set runs (depth above 0) and clear runs (depth 0). A shard that an interval covers
-    entirely is one set bit in a second bitmap whose units are shards, so a very long interval costs three rows. Runs
-    inside a shard are final; only runs that touch a shard's edge are stitched, at most a few rows per shard.
+    Time is discretised into exact units (BIGINT ``start`` and ``end``, half-open) and cut into shards. Each (entity,
+    shard) has a run bitmap: its set runs, as arrays of their bounds. It is the union of all intervals there, made from
+    the positions at which the number of covering records changes; these are summed before the shuffle, so a shard
+    never has more than ``shard`` + 1 of them however many records there are. A shard that an interval covers entirely
+    is one set bit in a second bitmap whose units are shards, so a very long interval costs three rows. The bitmaps are
+    written once. Runs and clear runs inside a shard come out of its bitmap alone; only runs that touch a shard's edge
+    are stitched, at most two per shard.
 
     ``kind`` is ``period`` or ``gap``; ``shared`` tells whether somewhere in the period at least two records overlap by
     more than nothing (NULL for gaps). Gaps shorter than ``min_gap`` are left out.
@@ -33,90 +34,82 @@ def merge_intervals(
     empty table gives no rows; other columns, whatever their names, are not read.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
+    maps = cut_lineage(run_bitmaps(df, keys, record, start, end, shard))
+    size = F.lit(shard).cast("bigint")
+    base = F.col("sh") * size
+
+    # The bitmap over whole shards, and of each shard its outermost runs.
+    by_entity = Window.partitionBy(*ks).orderBy("sh")
+    n = F.size("lo")
+    run = lambda i: F.struct((base + F.get("lo", i)).alias("s"), (base + F.get("hi", i)).alias("e"), F.get("two", i).alias("two"))
+    shards = maps.select(*ks, "sh", "d", n.alias("n"), F.when(n > 0, run(F.lit(0))).alias("head"), F.when(n > 0, run(n - 1)).alias("tail"))
+    shards = shards.withColumn("depth", F.sum("d").over(by_entity)).withColumn("next", F.lead("sh").over(by_entity))
+    whole = F.struct(base.alias("s"), (F.col("next") * size).alias("e"), ((F.col("depth") > 1) | (F.col("n") > 0)).alias("two"))
+    none = F.lit(None).cast("struct<s:bigint,e:bigint,two:boolean>")
+    at_start, at_end = F.col("head.s") == base, F.col("tail.e") == base + size
+    edges = F.array(F.when(at_start, F.col("head")).otherwise(none), F.when(at_end & ~(at_start & (F.col("n") == 1)), F.col("tail")).otherwise(none))
+    covered = F.col("depth") > 0
+    pieces = shards.select(*ks, F.explode(F.array_compact(F.when(covered, F.array(whole)).otherwise(edges))).alias("x")).select(*ks, "x.*")
+    by_start = Window.partitionBy(*ks).orderBy("s", "e")
+    so_far = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    stitched = (
+        pieces.withColumn("new", F.when(F.col("s") <= so_far, 0).otherwise(1))
+        .withColumn("grp", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*ks, "grp").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("two").alias("shared"))
+        .select(*ks, F.lit("period").alias("kind"), "s", "e", "shared")
+    )
+    no = F.lit(None).cast("boolean")
+    bounds = shards.filter(covered | (F.col("n") > 0)).select(
+        *ks, F.when(covered, base).otherwise(F.col("head.s")).alias("s"), F.when(covered, F.col("next") * size).otherwise(F.col("tail.e")).alias("e")
+    )
+    across = bounds.select(*ks, F.lit("gap").alias("kind"), so_far.alias("from"), F.col("s").alias("to"))
+    across = across.filter(F.col("to") - F.col("from") >= max(1, min_gap)).select(*ks, "kind", F.col("from").alias("s"), F.col("to").alias("e"), no.alias("shared"))
+
+    # Set and clear runs inside the shards that no interval covers entirely.
+    under = shards.filter(covered & (F.col("n") > 0)).select(*(F.col(k).alias(f"c{k}") for k in ks), F.col("sh").alias("csh"))
+    same = [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in ks] + [F.col("sh") == F.col("csh")]
+    zipped = F.arrays_zip("lo", "hi", "two", F.slice("lo", F.lit(2), F.greatest(n, F.lit(1))).alias("after"))
+    runs = maps.filter(n > 0).join(under, same, "left_anti").select(*ks, base.alias("base"), F.explode(zipped).alias("r")).select(*ks, "base", "r.*")
+    row = lambda kind, s, e, shared: F.struct(F.lit(kind).alias("kind"), (F.col("base") + s).alias("s"), (F.col("base") + e).alias("e"), shared.alias("shared"))
+    inner = F.when((F.col("lo") > 0) & (F.col("hi") < size), row("period", F.col("lo"), F.col("hi"), F.col("two")))
+    clear = F.when(F.col("after") - F.col("hi") >= max(1, min_gap), row("gap", F.col("hi"), F.col("after"), no))
+    within = runs.select(*ks, F.explode(F.array_compact(F.array(inner, clear))).alias("x")).select(*ks, "x.*")
+    out = within.unionByName(stitched).unionByName(across)
+    return out.select(*(F.col(a).alias(k) for k, a in zip(keys, ks)), "kind", F.col("s").alias(start), F.col("e").alias(end), "shared")
+
+
+def run_bitmaps(df: DataFrame, keys: Sequence[str], record: str | Sequence[str], start: str, end: str, shard: int = SHARD_MS) -> DataFrame:
+    """(keys as _k0, ..., sh, lo, hi, two, d): the run bitmap of every entity and shard of time.
+
+    ``lo`` and ``hi`` are the bounds of its set runs inside the shard, in order, and ``two`` tells which of them two records
+    share somewhere. ``d`` is by how many the records change that cover whole shards from this one on.
+    """
+    ks = [f"_k{i}" for i in range(len(keys))]
     rec = [record] if isinstance(record, str) else list(record)
     rows = df.select(
         *(F.col(k).alias(a) for k, a in zip(keys, ks)), *(F.col(r).alias(f"_r{i}") for i, r in enumerate(rec)),
         F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"),
     ).filter(F.col("_e") > F.col("_s")).distinct()
     size = F.lit(shard).cast("bigint")
-
-    def at(x):
-        return F.floor(x / size).cast("bigint")
-
-    first, last = at(F.col("_s")), F.floor((F.col("_e") - 1) / size).cast("bigint")
-    edge = lambda sh, pos, d: F.struct(sh.alias("sh"), pos.cast("bigint").alias("pos"), F.lit(d).alias("d"))
+    first, last = F.floor(F.col("_s") / size).cast("bigint"), F.floor((F.col("_e") - 1) / size).cast("bigint")
+    edge = lambda sh, pos, d: F.struct(sh.alias("sh"), pos.cast("int").alias("pos"), F.lit(d).alias("d"))
     head = F.array(edge(first, F.col("_s") - first * size, 1), edge(first, F.least(F.col("_e") - first * size, size), -1))
     tail = F.array(edge(last, F.lit(0), 1), edge(last, F.col("_e") - last * size, -1))
     # Position -1 marks the bitmap over whole shards.
     middle = F.array(edge(first + 1, F.lit(-1), 1), edge(last, F.lit(-1), -1))
-    none = F.array().cast("array<struct<sh:bigint,pos:bigint,d:int>>")
+    none = F.array().cast("array<struct<sh:bigint,pos:int,d:int>>")
     pieces = F.concat(head, F.when(last > first, tail).otherwise(none), F.when(last > first + 1, middle).otherwise(none))
-    changes = (
-        rows.select(*ks, F.explode(pieces).alias("x"))
-        .select(*ks, "x.*").groupBy(*ks, "sh", "pos").agg(F.sum("d").alias("d"))
-    )
-
-    in_shard = Window.partitionBy(*ks, "sh").orderBy("pos")
-    depth = F.sum(F.when(F.col("pos") >= 0, F.col("d")).otherwise(0)).over(in_shard)
-    steps = changes.withColumn("depth", depth).withColumn("prior", F.col("depth") - F.when(F.col("pos") >= 0, F.col("d")).otherwise(0))
-    run = F.sum(F.when((F.col("prior") == 0) & (F.col("depth") > 0), 1).otherwise(0)).over(in_shard)
-    runs = (
-        steps.withColumn("run", F.when(F.col("pos") >= 0, run))
-        .groupBy(*ks, "sh", "run")
-        .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("depth").alias("most"), F.sum("d").alias("cover"))
-    )  # rows with run NULL hold the changes of the bitmap over whole shards
-
-    base = F.col("sh") * size
-    local = runs.filter(F.col("run").isNotNull()).select(
-        *ks, "sh", (base + F.col("lo")).alias("s"), (base + F.col("hi")).alias("e"), (F.col("most") > 1).alias("two"),
-        ((F.col("lo") == 0) | (F.col("hi") == size)).alias("edge"),
-    )
-    # Whole shards: their depth, and which shards with runs of their own they cover.
-    by_entity = Window.partitionBy(*ks).orderBy("sh")
-    summary = runs.groupBy(*ks, "sh").agg(
-        F.coalesce(F.sum(F.when(F.col("run").isNull(), F.col("cover"))), F.lit(0)).alias("d"),
-        (F.count("run") > 0).alias("own"),
-    )
-    deep = summary.withColumn("base", F.sum("d").over(by_entity)).withColumn("next", F.lead("sh").over(by_entity))
-    covers = deep.filter(F.col("base") > 0).select(
-        *ks, F.col("sh"), (F.col("sh") * size).alias("s"), (F.col("next") * size).alias("e"),
-        (F.col("base") > 1).alias("two"), "own",
-    )
-    covered = covers.filter("own").select(*(F.col(k).alias(f"c{k}") for k in ks), F.col("sh").alias("csh"))
-    same = [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in ks] + [F.col("sh") == F.col("csh")]
-    marked = local.join(covered, same, "left").withColumn("under", F.col("csh").isNotNull())
-    free = marked.filter(~F.col("under"))
-    stitch = (
-        marked.filter(F.col("under") | F.col("edge")).select(*ks, "s", "e", (F.col("two") | F.col("under")).alias("two"))
-        .unionByName(covers.select(*ks, "s", "e", "two"))
-    )
-    by_start = Window.partitionBy(*ks).orderBy("s", "e")
-    so_far = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    stitched = (
-        stitch.withColumn("new", F.when(F.col("s") <= so_far, 0).otherwise(1))
-        .withColumn("grp", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*ks, "grp").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("two").alias("two"))
-        .select(*ks, "s", "e", "two")
-    )
-    inner = free.filter(~F.col("edge")).select(*ks, "s", "e", "two")
-    periods = inner.unionByName(stitched).select(*ks, F.lit("period").alias("kind"), "s", "e", F.col("two").alias("shared"))
-
-    # Clear runs: inside a shard between neighbouring runs, and across shards between their outermost bounds.
-    within = free.withColumn("to", F.lead("s").over(Window.partitionBy(*ks, "sh").orderBy("s"))).select(
-        *ks, F.col("e").alias("s"), F.col("to").alias("e")
-    )
-    outer = (
-        free.groupBy(*ks, "sh").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*ks, "s", "e")
-        .unionByName(covers.select(*ks, "s", "e"))
-    )
-    across = outer.select(*ks, so_far.alias("from"), F.col("s").alias("to")).select(
-        *ks, F.col("from").alias("s"), F.col("to").alias("e")
+    changes = rows.select(*ks, F.explode(pieces).alias("x")).select(*ks, "x.*").groupBy(*ks, "sh", "pos").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*ks, "sh").orderBy("pos")
+    step = F.when(F.col("pos") >= 0, F.col("d")).otherwise(0)
+    steps = changes.withColumn("depth", F.sum(step).over(w)).withColumn("prior", F.col("depth") - step)
+    opens = F.sum(F.when((F.col("prior") == 0) & (F.col("depth") > 0), 1).otherwise(0)).over(w)
+    runs = steps.withColumn("run", F.when(F.col("pos") >= 0, opens)).groupBy(*ks, "sh", "run").agg(
+        F.min("pos").alias("lo"), F.max("pos").alias("hi"), (F.max("depth") > 1).alias("two"), F.sum("d").alias("d")
     )
-    gaps = within.unionByName(across).filter(F.col("e") - F.col("s") >= max(1, min_gap)).select(
-        *ks, F.lit("gap").alias("kind"), "s", "e", F.lit(None).cast("boolean").alias("shared")
-    )
-    out = periods.unionByName(gaps)
-    return out.select(*(F.col(a).alias(k) for k, a in zip(keys, ks)), "kind", F.col("s").alias(start), F.col("e").alias(end), "shared")
+    set_run = F.when(F.col("run").isNotNull(), F.struct("lo", "hi", "two"))
+    maps = runs.groupBy(*ks, "sh").agg(F.sort_array(F.collect_list(set_run)).alias("x"), F.coalesce(F.sum(F.when(F.col("run").isNull(), F.col("d"))), F.lit(0)).alias("d"))
+    return maps.select(*ks, "sh", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("x.two").alias("two"), "d")
 
 
 def _all_intervals(spark, sf_dir: str) -> DataFrame:

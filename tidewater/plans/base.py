@@ -22,7 +22,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
-def records(spark, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table, each record once however often it was delivered."""
+def records(spark, sf_dir: str, name: str, *columns: str, where: str | None = None) -> DataFrame:
+    """The named columns of a table, each record once however often it was delivered.
+
+    Deliveries are alike in every column, so rows that ``where`` leaves out go before the shuffle that finds repeats.
+    """
     key = RECORD[name]
-    return load(spark, sf_dir, name, *dict.fromkeys([key, *columns])).dropDuplicates([key])
+    rows = load(spark, sf_dir, name, *dict.fromkeys([key, *columns]))
+    return (rows.filter(where) if where else rows).dropDuplicates([key])

@@ -41,7 +41,7 @@ def bundle_source_set(spark, sf_dir: str) -> DataFrame:
  select id, part, string_agg(line, chr(10) order by w, k) as body from l group by all""".replace("\\\\n", "\\n"))
 def bundle_markdown(spark, sf_dir: str) -> DataFrame:
     """The transcript section of a bundle as Markdown: a line table, put together in order."""
-    cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "text").filter("track = 'human-sub' and text is not null and start is not null")
+    cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "text", where="track = 'human-sub' and text is not null and start is not null")
     cues = cues.filter(~F.col("text").rlike(r"[\n\\#*_`~-]")).withColumn("w", timeline.fixed_window(F.col("start"), 60.0))
     parts = F.sort_array(F.collect_list(F.struct("pos", "text")))
     chunks = cues.groupBy("id", "part", "w").agg(stripped(neutral_markdown(F.array_join(parts["text"], ""))).alias("body"))
@@ -54,7 +54,7 @@ def bundle_markdown(spark, sf_dir: str) -> DataFrame:
 @query(None)
 def bundle_markdown_all(spark, sf_dir: str) -> DataFrame:
     """``bundle_markdown`` of every cue with text and start of each page's track of most authority, markers neutralised."""
-    cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "text").filter("text is not null and start is not null")
+    cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "text", where="text is not null and start is not null")
     rank = F.when(F.col("track") == "human-sub", 0).when(F.col("track") == "whisper", 1).otherwise(2)
     chosen = cues.groupBy("id", "part").agg(F.min_by("track", F.struct(rank.alias("r"), "track")).alias("track"))
     cues = cues.join(chosen, _TRACK).withColumn("w", timeline.fixed_window(F.col("start"), 60.0))
@@ -167,7 +167,7 @@ def recording_coverage(spark, sf_dir: str) -> DataFrame:
     """Share of a page's tenths of a second that lie in a matching window of six seconds, here one at every frame, and its
     longest stretch without a match, in seconds; by the windows' ends, without a row per tenth."""
     pages = load(spark, sf_dir, "video_pages", "id", "page", "duration").filter("duration > 0").select("id", F.col("page").alias("part"), F.ceil(F.col("duration") * 10).alias("cells"))
-    rows = records(spark, sf_dir, "frames", "id", "part", "ts").filter("ts is not null").join(pages, ["id", "part"])
+    rows = records(spark, sf_dir, "frames", "id", "part", "ts", where="ts is not null").join(pages, ["id", "part"])
     cell = lambda x: F.least(F.bround(x * 10).cast("bigint"), F.col("cells"))
     rows = rows.select("id", "part", "cells", cell(F.col("ts")).alias("s"), cell(F.col("ts") + 6).alias("e")).distinct()
     before = F.max("e").over(Window.partitionBy("id", "part").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
@@ -238,5 +238,5 @@ def ext_cube(spark, sf_dir: str) -> DataFrame:
  from (select distinct seq, room_id, timestamp from live_events where timestamp is not null))) group by room_id, g""")
 def ext_sessions(spark, sf_dir: str) -> DataFrame:
     """An extension: sessions of a room that end after an hour without an event."""
-    rows = records(spark, sf_dir, "live_events", "room_id", "timestamp").filter("timestamp is not null").withColumn("at", F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("bigint")))
+    rows = records(spark, sf_dir, "live_events", "room_id", "timestamp", where="timestamp is not null").withColumn("at", F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("bigint")))
     return rows.groupBy("room_id", F.session_window("at", "1 hour")).agg(F.min("timestamp").alias("s"), F.count("*").alias("n")).select("room_id", "s", "n")

@@ -56,27 +56,73 @@ def _top(rows: DataFrame, what: str, count) -> DataFrame:
 
 @query(f"with {_EV} " + _TOP.format(what="uname", count="count(*)", when="event_type = 'danmaku' and uname <> ''"))
 def top_chatters(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "uname").filter("event_type = 'danmaku' and uname <> ''")
+    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "uname", where="event_type = 'danmaku' and uname <> ''")
     return _top(rows, "uname", F.count("*"))
 
 
 @query(f"with {_EV} " + _TOP.format(what="gift_name", count="sum(num)::bigint", when="event_type = 'gift'"))
 def top_gifts(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "gift_name", "num").filter("event_type = 'gift'")
+    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "gift_name", "num", where="event_type = 'gift'")
     return _top(rows, "gift_name", F.sum("num"))
 
 
 @query(f"with {_EV} select seq, guard_level, unit from ev where event_type = 'guard' and uid <> 0")
 def live_guard_sales(spark, sf_dir: str) -> DataFrame:
     """Guards that were bought; giveaways, here those without a buyer, are suppressed."""
-    return records(spark, sf_dir, "live_events", "event_type", "uid", "guard_level", "unit").filter("event_type = 'guard' and uid <> 0").select("seq", "guard_level", "unit")
+    return records(spark, sf_dir, "live_events", "event_type", "uid", "guard_level", "unit", where="event_type = 'guard' and uid <> 0").select("seq", "guard_level", "unit")
+
+
+_LIST = "(select room_id, string_agg({what} || ' x ' || n, '; ' order by n desc, first) tops from (select *, row_number() over (partition by room_id order by n desc, first) rn from (select room_id, {what}, {count} n, min(seq) first from ev where {when} group by all)) where rn <= 10 group by room_id)"
+_CHATTERS = _LIST.format(what="uname", count="count(*)", when="event_type = 'danmaku' and uname <> ''")
+_GIFTS = _LIST.format(what="gift_name", count="sum(num)::bigint", when="event_type = 'gift'")
+
+
+@query(f"""with {_EV}, t as (select room_id, strftime(make_timestamp(cast(floor(min(timestamp)) as bigint) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as start_time, round(max(timestamp) - min(timestamp), 2) as duration_s, {_TOTALS},
+ count(*) filter (where event_type = 'super_chat') as n_super_chats, count(*) filter (where event_type = 'guard') as n_guards from ev group by room_id)
+ select t.*, coalesce(c.tops, '') as top_chatters, coalesce(g.tops, '') as top_gifts from t left join {_CHATTERS} c using (room_id) left join {_GIFTS} g using (room_id)""")
+def live_session(spark, sf_dir: str) -> DataFrame:
+    """The whole summary of every room: its time, totals, how much was paid for how often, and both rankings as lists."""
+    rows = records(spark, sf_dir, "live_events", *_COLUMNS)
+    kind, at = F.col("event_type"), F.min("timestamp")
+    whole = rows.groupBy("room_id").agg(
+        F.date_format(F.timestamp_seconds(F.floor(at)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start_time"), F.round(F.max("timestamp") - at, 2).alias("duration_s"), *totals(),
+        F.count_if(kind == "super_chat").alias("n_super_chats"), F.count_if(kind == "guard").alias("n_guards"),
+    )
+
+    def listed(when: str, what: str, count, into: str) -> DataFrame:
+        ranked = rows.filter(when).groupBy("room_id", what).agg(count.alias("n"), F.min("seq").alias("first"))
+        w = Window.partitionBy("room_id").orderBy(F.desc("n"), "first")
+        ranked = ranked.withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
+        line = F.struct("rn", F.concat(what, F.lit(" x "), F.col("n").cast("string")).alias("line"))
+        return ranked.groupBy("room_id").agg(F.array_join(F.sort_array(F.collect_list(line))["line"], "; ").alias(into))
+
+    whole = whole.join(listed("event_type = 'danmaku' and uname <> ''", "uname", F.count("*"), "top_chatters"), "room_id", "left")
+    return whole.join(listed("event_type = 'gift'", "gift_name", F.sum("num"), "top_gifts"), "room_id", "left").na.fill("", ["top_chatters", "top_gifts"])
+
+
+@query(f"""with {_EV}, g as (select seq, seq - lag(seq) over (order by seq) - 1 lost from (select seq from ev where event_type <> 'system')) select count(*) as events, coalesce(sum(lost), 0)::bigint as dropped, coalesce(sum(lost), 0) = 0 as complete from g""")
+def live_capture_state(spark, sf_dir: str) -> DataFrame:
+    """Events of a journal without the system's, how many numbers between the first and the last are missing, and whether the
+    capture is complete; from its bounds and size, without ordering it."""
+    seq = F.col("seq")
+    dropped = F.coalesce(F.max(seq) - F.min(seq) + 1 - F.count("*"), F.lit(0))
+    return records(spark, sf_dir, "live_events", where="event_type <> 'system'").agg(F.count("*").alias("events"), dropped.alias("dropped"), (dropped == 0).alias("complete"))
+
+
+@query(f"""with {_EV}, f as (select room_id, min(timestamp) t0 from ev where timestamp is not null group by 1) select room_id, count(*) filter (where timestamp <= t0 + 86400) as captured, max(timestamp) > t0 + 86400 as stopped from ev join f using (room_id) where timestamp is not null group by room_id, t0""")
+def live_bounded_run(spark, sf_dir: str) -> DataFrame:
+    """What a run of at most a day keeps of each room, counted from its first event, and whether the bound ended it."""
+    rows = records(spark, sf_dir, "live_events", "room_id", "timestamp", where="timestamp is not null")
+    first = rows.groupBy("room_id").agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
+    kept = rows.join(first, "room_id").groupBy("room_id", "t0", "t1").agg(F.count_if(F.col("timestamp") <= F.col("t0") + 86400).alias("captured"))
+    return kept.select("room_id", "captured", (F.col("t1") > F.col("t0") + 86400).alias("stopped"))
 
 
 _COST = "ev as (select distinct seq, room_id, timestamp ts, coalesce(price, cny_value) amount from live_events where event_type in ('gift', 'super_chat', 'guard') and coalesce(price, cny_value) > 0)"
 
 
 def _costs(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "timestamp", "price", "cny_value").filter("event_type in ('gift', 'super_chat', 'guard')")
+    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "timestamp", "price", "cny_value", where="event_type in ('gift', 'super_chat', 'guard')")
     return rows.select("seq", "room_id", F.col("timestamp").alias("ts"), F.coalesce("price", "cny_value").alias("amount")).filter("amount > 0")
 
 
@@ -104,7 +150,7 @@ _CALLS = "c as (select distinct seq, room_id, timestamp ts from live_events wher
  select e.room_id, e.rn, e.seq, case when len(list_filter(w.open, lambda t: t > e.ts - 3600)) < 3 then list_append(list_filter(w.open, lambda t: t > e.ts - 3600), e.ts) else list_filter(w.open, lambda t: t > e.ts - 3600) end,
  len(list_filter(w.open, lambda t: t > e.ts - 3600)) < 3 from w join e on e.room_id = w.room_id and e.rn = w.rn + 1) select room_id, seq from w where ok""")
 def rate_limit(spark, sf_dir: str) -> DataFrame:
-    calls = records(spark, sf_dir, "live_events", "event_type", "room_id", "timestamp").filter("event_type = 'danmaku' and timestamp is not null")
+    calls = records(spark, sf_dir, "live_events", "event_type", "room_id", "timestamp", where="event_type = 'danmaku' and timestamp is not null")
     return folds.rate_limited(calls.select("room_id", F.col("timestamp").alias("ts"), "seq"), ["room_id"], "ts", "seq", 3, 3600.0).select("room_id", "seq")
 
 

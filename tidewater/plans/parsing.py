@@ -27,7 +27,7 @@ def _stamp(seconds, mark: str):
 
 def _written(spark, sf_dir: str) -> DataFrame:
     """Every cue with text, as it is; only times below zero have no stamp."""
-    return records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "end", "text").filter("text is not null and start >= 0 and end >= 0")
+    return records(spark, sf_dir, "cues", *_TRACK, "pos", "start", "end", "text", where="text is not null and start >= 0 and end >= 0")
 
 
 def _timed(cues: DataFrame, mark: str, head: str) -> DataFrame:
@@ -86,7 +86,7 @@ def source_speech_words(spark, sf_dir: str) -> DataFrame:
     from tidewater.tables import load
 
     pages = load(spark, sf_dir, "video_pages", "id", "page", "duration").withColumnRenamed("page", "part").filter("duration is not null")
-    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text").filter("text is not null").join(pages, ["id", "part"])
+    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text", where="text is not null").join(pages, ["id", "part"])
     word = F.struct(F.round(F.col("start") * 1000).cast("bigint").alias("begin_time"), F.round(F.col("end") * 1000).cast("bigint").alias("end_time"), "text", F.lit("!").alias("punctuation"))
     sentence = F.array(F.struct(F.array(word).alias("words")))
     files = rows.select(*_TRACK, "duration", F.lit(10.0).alias("offset"), F.to_json(F.struct(F.array(F.struct(sentence.alias("sentences"))).alias("transcripts"))).alias("body"))
@@ -96,7 +96,7 @@ def source_speech_words(spark, sf_dir: str) -> DataFrame:
 
 @query("""select id, part, content_ts, text, high_like, coalesce(mid_hash, '') as mid_hash from (select distinct * from danmaku_raw where text is not null and content_ts >= 0)""")
 def source_comment_segments(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text", "high_like", "mid_hash").filter("text is not null and content_ts >= 0")
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text", "high_like", "mid_hash", where="text is not null and content_ts >= 0")
     # A segment holds six minutes of content, so no page is gathered whole.
     each = F.struct("content_ts", "text", "high_like", "mid_hash")
     segments = rows.groupBy("id", "part", F.floor(F.col("content_ts") / 360).alias("segment")).agg(wire.encode_segment(F.collect_list(each)).alias("body"))

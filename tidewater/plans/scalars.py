@@ -111,7 +111,7 @@ def fn_watch_identity(spark, sf_dir: str) -> DataFrame:
 @query("""select seq, strftime(make_timestamp(cast(floor(timestamp) as bigint) * 1000000) + interval 8 hour, '%Y-%m-%dT%H:%M:%S') || '+08:00' as iso,
  floor(timestamp) as again from (select distinct seq, timestamp from live_events where timestamp is not null and timestamp <> 0)""")
 def fn_iso_time(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "live_events", "timestamp").filter("timestamp is not null and timestamp <> 0")
+    rows = records(spark, sf_dir, "live_events", "timestamp", where="timestamp is not null and timestamp <> 0")
     millis = F.floor("timestamp") * 1000.0
     return rows.select("seq", media.iso_time(F.col("timestamp")).alias("iso"), media.epoch_seconds(millis).alias("again"))
 
@@ -123,14 +123,14 @@ def fn_iso_date(spark, sf_dir: str) -> DataFrame:
 
 @query("""select seq, case when coin_type = 'gold' then round(total_coin / 1000.0, 2) else 0.0 end as worth from (select distinct * from live_events) where event_type = 'gift'""")
 def fn_gift_value(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "live_events", "event_type", "coin_type", "total_coin").filter("event_type = 'gift'")
+    rows = records(spark, sf_dir, "live_events", "event_type", "coin_type", "total_coin", where="event_type = 'gift'")
     return rows.select("seq", media.gift_value(F.col("coin_type"), F.col("total_coin")).alias("worth"))
 
 
 @query("""select seq, case when guard_level between 1 and 3 then guard_level else 3 end as level, round(cny_value * 1000 / num, 3) as price, round(round(cny_value * 1000 / num, 3) * num / 1000, 2) as worth
  from (select distinct * from live_events) where event_type = 'guard'""")
 def fn_guard_value(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "live_events", "event_type", "guard_level", "cny_value", "num").filter("event_type = 'guard'")
+    rows = records(spark, sf_dir, "live_events", "event_type", "guard_level", "cny_value", "num", where="event_type = 'guard'")
     rows = rows.withColumn("price", F.round(F.col("cny_value") * 1000 / F.col("num"), 3))
     return rows.select("seq", media.guard_level(F.col("guard_level")).alias("level"), "price", F.round(F.col("price") * F.col("num") / 1000, 2).alias("worth"))
 
@@ -161,7 +161,7 @@ def fn_redaction(spark, sf_dir: str) -> DataFrame:
 @query("""select id, part, w, text, n::integer as n from (select id, part, floor(content_ts / 15)::bigint w, text, count(*) n from (select distinct seq, id, part, content_ts, text from danmaku_raw where text is not null and content_ts is not null) group by all)""")
 def fn_json_array(spark, sf_dir: str) -> DataFrame:
     """The lines of a window as a model would answer them, among its thoughts and remarks, read back."""
-    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text").filter("text is not null and content_ts is not null")
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text", where="text is not null and content_ts is not null")
     lines = rows.groupBy("id", "part", F.floor(F.col("content_ts") / 15).alias("w"), "text").agg(F.count("*").cast("int").alias("count"))
     answers = lines.groupBy("id", "part", "w").agg(F.to_json(F.collect_list(F.struct("text", "count"))).alias("said"))
     answer = F.concat(F.lit("<think>[no] <b></think>\nHere: "), "said", F.lit(" done"))
@@ -191,10 +191,10 @@ def fn_contained_path(spark, sf_dir: str) -> DataFrame:
 @query("""select cue_id, '[' || lpad(cast(t // 6000 as varchar), cast(greatest(2, length(cast(t // 6000 as varchar))) as integer), '0') || ':' || lpad(cast(t % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast(t % 100 as varchar), 2, '0') || ']' || translate(regexp_replace(text, '[\r\n]+', ' ', 'g'), '[]', '［］') as line
  from (select distinct cue_id, text, cast(round_even("start" * 100, 0) as bigint) t from cues where text is not null)""")
 def sink_lrc_lines(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "cues", "start", "text").filter("text is not null")
+    rows = records(spark, sf_dir, "cues", "start", "text", where="text is not null")
     return rows.select("cue_id", F.concat(media.lrc_stamp(F.col("start")), media.lrc_text(F.col("text"))).alias("line"))
 
 
 @query(f"""select cue_id, regexp_matches(text, '{DISTRUST}') as acts from {_CUES} where text is not null""")
 def fn_keyword_guard(spark, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir, "cues", "text").filter("text is not null").select("cue_id", F.col("text").rlike(DISTRUST).alias("acts"))
+    return records(spark, sf_dir, "cues", "text", where="text is not null").select("cue_id", F.col("text").rlike(DISTRUST).alias("acts"))

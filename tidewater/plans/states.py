@@ -26,7 +26,7 @@ def fn_lyric_lines(spark, sf_dir: str) -> DataFrame:
  from (select distinct seq, text, content_ts from danmaku_raw where text is not null and content_ts is not null and seq % 2 = 0)""")
 def widgets(spark, sf_dir: str) -> DataFrame:
     """Votes and grades among command comments; others and those whose JSON is broken are skipped."""
-    rows = records(spark, sf_dir, "danmaku_raw", "text", "content_ts").filter("text is not null and content_ts is not null")
+    rows = records(spark, sf_dir, "danmaku_raw", "text", "content_ts", where="text is not null and content_ts is not null")
     option = F.array(F.struct(F.lit("a").alias("desc"), F.lit(1).alias("cnt")), F.struct(F.lit("b").alias("desc"), F.lit(2).alias("cnt")))
     extra = F.when(F.col("seq") % 4 == 0, F.to_json(F.struct(F.col("text").alias("question"), option.alias("options")))).otherwise(F.to_json(F.struct(F.col("text").alias("msg"), F.lit(9.5).alias("avg_score"))))
     command = F.when(F.col("seq") % 4 == 0, "#VOTE#").when(F.col("seq") % 2 == 0, "#GRADE#").otherwise("#LINK#")
@@ -61,7 +61,7 @@ def fn_probe_projection(spark, sf_dir: str) -> DataFrame:
  from (select *, lag(phash) over (partition by id, part order by ts, frame_id) before from (select distinct frame_id, id, part, ts, phash from frames where phash is not null)) where before is not null""")
 def fn_mean_difference(spark, sf_dir: str) -> DataFrame:
     """Mean absolute difference of two arrays, here the digits of neighbouring frames' hashes."""
-    rows = records(spark, sf_dir, "frames", "id", "part", "ts", "phash").filter("phash is not null")
+    rows = records(spark, sf_dir, "frames", "id", "part", "ts", "phash", where="phash is not null")
     rows = rows.withColumn("before", F.lag("phash").over(Window.partitionBy("id", "part").orderBy("ts", "frame_id"))).filter("before is not null")
     digits = lambda c: F.transform(F.split(c, ""), lambda x: F.conv(x, 16, 10).cast("int"))
     gap = F.zip_with(digits("phash"), digits("before"), lambda a, b: F.abs(a - b))
@@ -76,7 +76,7 @@ _WALK = """f as (select frame_id, id, part, ocr, cast(('0x' || left(phash, 4)) a
 @query(f"with recursive {_WALK} select frame_id, changed, ocr as carried from w")
 def screen_change_gate(spark, sf_dir: str) -> DataFrame:
     """Frames whose picture differs enough from the last changed one; the others carry that one's text."""
-    frames = records(spark, sf_dir, "frames", "id", "part", "ts", "phash", "ocr").filter("phash is not null and ts is not null")
+    frames = records(spark, sf_dir, "frames", "id", "part", "ts", "phash", "ocr", where="phash is not null and ts is not null")
     frames = frames.withColumn("v", F.conv(F.left("phash", F.lit(4)), 16, 10).cast("bigint"))
     changed = folds.changed(frames, ["id", "part"], ["ts", "frame_id"], "v", 9000).select("frame_id", F.lit(True).alias("changed"))
     rows = frames.join(changed, "frame_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
@@ -87,7 +87,7 @@ def screen_change_gate(spark, sf_dir: str) -> DataFrame:
 @query("""with f as (select distinct frame_id, id, part, ts, ocr, phash from frames where ocr <> '') select id, part, (array_agg(ocr order by phash desc, ts, frame_id))[1] as text from f where phash is not null group by id, part""")
 def screen_representative(spark, sf_dir: str) -> DataFrame:
     """The text of the surest sample of a page, the first one among equals."""
-    rows = records(spark, sf_dir, "frames", "id", "part", "ts", "ocr", "phash").filter("ocr <> '' and phash is not null and ts is not null")
+    rows = records(spark, sf_dir, "frames", "id", "part", "ts", "ocr", "phash", where="ocr <> '' and phash is not null and ts is not null")
     return rows.groupBy("id", "part").agg(F.max_by("ocr", F.struct("phash", (-F.col("ts")).alias("t"), (-F.col("frame_id")).alias("f"))).alias("text"))
 
 
@@ -95,7 +95,7 @@ def screen_representative(spark, sf_dir: str) -> DataFrame:
  j as (select t.transcript_id, h from t join s using (id, part, track)) select transcript_id, (select min(b.transcript_id) from j b where b.h = j.h and b.transcript_id < j.transcript_id) as earlier from j""")
 def recording_sequential_dedup(spark, sf_dir: str) -> DataFrame:
     """The first earlier recording with the same content, if there is one. Content is compared by its hash."""
-    words = records(spark, sf_dir, "cues", *_TRACK, "text").filter("text is not null").groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("cue_id", "text"))).alias("x"))
+    words = records(spark, sf_dir, "cues", *_TRACK, "text", where="text is not null").groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("cue_id", "text"))).alias("x"))
     prints = records(spark, sf_dir, "transcripts", *_TRACK).join(words.select(*_TRACK, F.md5(F.array_join("x.text", "|")).alias("h")), _TRACK)
     first = F.min("transcript_id").over(Window.partitionBy("h"))
     return prints.withColumn("first", first).select("transcript_id", F.when(F.col("first") < F.col("transcript_id"), F.col("first")).alias("earlier"))
@@ -105,7 +105,7 @@ def recording_sequential_dedup(spark, sf_dir: str) -> DataFrame:
  select room_id, uid, (array_agg(event_type order by seq desc))[1] as state, count(*) as steps, coalesce(bool_and(before is distinct from 'guard' or event_type <> 'system'), true) as legal from s group by room_id, uid""")
 def state_machine(spark, sf_dir: str) -> DataFrame:
     """Latest state of each key and whether no step was one that isn't allowed."""
-    rows = records(spark, sf_dir, "live_events", "room_id", "uid", "event_type").filter("uid > 0")
+    rows = records(spark, sf_dir, "live_events", "room_id", "uid", "event_type", where="uid > 0")
     before = F.lag("event_type").over(Window.partitionBy("room_id", "uid").orderBy("seq"))
     legal = ~(before.eqNullSafe("guard") & (F.col("event_type") == "system"))
     rows = rows.withColumn("legal", legal)
@@ -116,7 +116,7 @@ def state_machine(spark, sf_dir: str) -> DataFrame:
  bool_or(cny_value is null or cny_value < 0 or cny_value > total_coin / 1000.0 + 1e-9) over (partition by room_id) as blocked from g""")
 def budget_settle(spark, sf_dir: str) -> DataFrame:
     """Each settled request, and whether an unknown or exceeding one blocks its ledger."""
-    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "total_coin", "cny_value").filter("event_type = 'gift'")
+    rows = records(spark, sf_dir, "live_events", "event_type", "room_id", "total_coin", "cny_value", where="event_type = 'gift'")
     unknown = F.col("cny_value").isNull() | (F.col("cny_value") < 0)
     over = F.col("cny_value") > F.col("total_coin") / 1000 + 1e-9
     bad = rows.withColumn("bad", F.coalesce(unknown | over, unknown))
@@ -157,7 +157,7 @@ def gate_handle_expiry(spark, sf_dir: str) -> DataFrame:
  select id, part, cast(core as bigint) as core, case when b is null then 'short_window_empty' when a is not null and a <> b then 'short_window_conflict' else 'replaced' end as outcome from g""")
 def words_window_merge(spark, sf_dir: str) -> DataFrame:
     """Per core window whether its words are replaced by another recogniser's: not if there are none or they disagree."""
-    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text").filter("track in ('whisper', 'ocr')")
+    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text", where="track in ('whisper', 'ocr')")
     rows = rows.withColumn("mid", (F.col("start") + F.col("end")) / 2).withColumn("core", F.floor(F.col("mid") / 54)).withColumn("k", F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9]", "")))
     said = lambda t: F.array_join(F.sort_array(F.collect_list(F.when(F.col("track") == t, F.struct("mid", "cue_id", "k"))))["k"], "")
     g = rows.groupBy("id", "part", "core").agg(said("whisper").alias("a"), said("ocr").alias("b"), F.count_if(F.col("track") == "whisper").alias("na"), F.count_if(F.col("track") == "ocr").alias("nb"))
@@ -168,7 +168,7 @@ def words_window_merge(spark, sf_dir: str) -> DataFrame:
 @query(None)
 def words_window_merge_all(spark, sf_dir: str) -> DataFrame:
     """``words_window_merge`` on the word characters of every script."""
-    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text").filter("track in ('whisper', 'ocr')")
+    rows = records(spark, sf_dir, "cues", *_TRACK, "start", "end", "text", where="track in ('whisper', 'ocr')")
     rows = rows.withColumn("mid", (F.col("start") + F.col("end")) / 2).withColumn("core", F.floor(F.col("mid") / 54)).withColumn("k", word_fold(F.coalesce("text", F.lit(""))))
     said = lambda t: F.array_join(F.sort_array(F.collect_list(F.when(F.col("track") == t, F.struct("mid", "cue_id", "k"))))["k"], "")
     g = rows.groupBy("id", "part", "core").agg(said("whisper").alias("a"), said("ocr").alias("b"), F.count_if(F.col("track") == "whisper").alias("na"), F.count_if(F.col("track") == "ocr").alias("nb"))
@@ -180,7 +180,7 @@ def words_window_merge_all(spark, sf_dir: str) -> DataFrame:
  select b.id, b.part, b.text, coalesce(d.content_ts, 0) as ts from b left join d on d.seq = b.first""")
 def join_first_occurrence(spark, sf_dir: str) -> DataFrame:
     """Each wording of a page with the time of its first occurrence."""
-    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text").filter("text is not null and content_ts is not null")
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text", where="text is not null and content_ts is not null")
     return rows.groupBy("id", "part", "text").agg(F.min_by("content_ts", "seq").alias("ts"))
 
 
@@ -194,8 +194,8 @@ def sink_envelope(spark, sf_dir: str) -> DataFrame:
 
 @query("""select id, part, round("start", 3) as "start", track, text from (select distinct cue_id, id, part, "start", track, text from cues where text is not null) union all select id, part, round(ts, 3), 'ocr-frame', ocr from (select distinct frame_id, id, part, ts, ocr from frames where ocr <> '')""")
 def bundle_union_timeline(spark, sf_dir: str) -> DataFrame:
-    cues = records(spark, sf_dir, "cues", "id", "part", "start", "track", "text").filter("text is not null").select("id", "part", F.round("start", 3).alias("start"), "track", "text")
-    screen = records(spark, sf_dir, "frames", "id", "part", "ts", "ocr").filter("ocr <> ''").select("id", "part", F.round("ts", 3).alias("start"), F.lit("ocr-frame").alias("track"), F.col("ocr").alias("text"))
+    cues = records(spark, sf_dir, "cues", "id", "part", "start", "track", "text", where="text is not null").select("id", "part", F.round("start", 3).alias("start"), "track", "text")
+    screen = records(spark, sf_dir, "frames", "id", "part", "ts", "ocr", where="ocr <> ''").select("id", "part", F.round("ts", 3).alias("start"), F.lit("ocr-frame").alias("track"), F.col("ocr").alias("text"))
     return cues.unionByName(screen)
 
 

@@ -51,7 +51,7 @@ def join_frame_chunk(spark, sf_dir: str) -> DataFrame:
  select id, part, track, floor("start" / 60.0) * 60.0 as chunk, count(*) as n, regexp_replace(string_agg(coalesce(text, ''), '' order by pos), '^[\s　]+|[\s　]+$', '', 'g') as body from t group by all""")
 def timeline_chunks(spark, sf_dir: str) -> DataFrame:
     """Chunks of 60 s with the texts of their cues in order, none between them."""
-    cues = records(spark, sf_dir, "cues", "id", "part", "track", "pos", "start", "text").filter("start is not null")
+    cues = records(spark, sf_dir, "cues", "id", "part", "track", "pos", "start", "text", where="start is not null")
     cues = cues.withColumn("chunk", timeline.fixed_window(F.col("start"), WIDTH))
     line = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t"))))
     return cues.groupBy("id", "part", "track", "chunk").agg(F.count("*").alias("n"), stripped(F.array_join(line["t"], "")).alias("body"))
@@ -64,7 +64,7 @@ _CROWD = """dm as (select distinct * from danmaku_raw where text is not null and
 
 def _crowd(spark, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "video_pages", "id", "page", "duration").withColumnRenamed("page", "part")
-    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text", "high_like", "author").filter("text is not null and content_ts is not null")
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", "text", "high_like", "author", where="text is not null and content_ts is not null")
     rows = rows.join(pages, ["id", "part"])
     return rows.withColumn("w", timeline.fixed_window(F.col("content_ts"), CROWD, F.col("duration"))).withColumn("elevated", F.col("high_like") | F.col("author").isNotNull())
 
@@ -125,7 +125,7 @@ def crowd_overflow_cap(spark, sf_dir: str) -> DataFrame:
 
 @query("""select seq, row_number() over (partition by id, part order by content_ts, seq) as place from (select distinct * from danmaku_raw where content_ts is not null)""")
 def crowd_census_order(spark, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts").filter("content_ts is not null")
+    rows = records(spark, sf_dir, "danmaku_raw", "id", "part", "content_ts", where="content_ts is not null")
     return rows.select("seq", F.row_number().over(Window.partitionBy("id", "part").orderBy("content_ts", "seq")).alias("place"))
 
 

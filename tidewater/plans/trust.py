@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.python import compatibility_fold, line_support, near_copy
-from tidewater.functions.text import DIGITS, PUNCTUATION_CLASS, SPACES, bare, base_language, clean_tag, join_words, phash_bits
-from tidewater.operators import folds, quality
+from tidewater.functions.python import compatibility_fold, line_support, near_copy, phonetic_key, sequence_ratio
+from tidewater.functions.text import DIGITS, PUNCTUATION_CLASS, SPACES, bare, base_language, clean_tag, join_words, phash_bits, source_key
+from tidewater.operators import acquire, folds, quality
 from tidewater.plans.base import query, records
 from tidewater.tables import load
 
@@ -57,21 +57,15 @@ def gate_duration(spark, sf_dir: str) -> DataFrame:
     return ends.join(pages, ["id", "part"]).select(*_TRACK, (F.col("e") / F.col("duration")).between(0.70, 1.10).alias("sane"))
 
 
-# The keys of Chinese tracks, and the marks that censorship leaves in them.
-CHINESE_KEYS = ["zh-Hans", "zh-CN", "zh", "ai-zh"]
-REDACTED = r"\*\*|XX|和[Xx]"
-
-
 @query(rf"""with w as (select id, part, track, string_agg(coalesce(text, ''), '' order by pos) body from (select distinct id, part, track, pos, text from cues) group by all)
- select id, part, track, case when language in ('zh-Hans', 'zh-CN', 'zh', 'ai-zh') then nullif(regexp_extract(body, '{REDACTED}'), '') end as marker
+ select id, part, track, case when language in ('zh-Hans', 'zh-CN', 'zh', 'ai-zh') then nullif(regexp_extract(body, '{acquire.REDACTED}'), '') end as marker
  from w join (select distinct id, part, track, language from transcripts) using (id, part, track)""")
 def gate_redaction_marker(spark, sf_dir: str) -> DataFrame:
     """The first mark of censorship in a Chinese track. It may span cues: it is looked for in the whole text of a track."""
     cues = records(spark, sf_dir, "cues", *_TRACK, "pos", "text")
     whole = cues.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t")))).alias("x"))
     heads = records(spark, sf_dir, "transcripts", *_TRACK, "language").drop("transcript_id")
-    marker = F.nullif(F.regexp_extract(F.array_join("x.t", ""), REDACTED, 0), F.lit(""))
-    return whole.join(heads, _TRACK).select(*_TRACK, F.when(F.col("language").isin(CHINESE_KEYS), marker).alias("marker"))
+    return whole.join(heads, _TRACK).select(*_TRACK, acquire.marker(F.col("language"), F.array_join("x.t", "")).alias("marker"))
 
 
 _REP = r"""k as (select id, part, track, pos, lower(trim(regexp_replace(coalesce(text, ''), '[\s　]+', '', 'g'), '，。！？、!?.,;:：…—-()（）"''*')) k from (select distinct id, part, track, pos, text from cues)),
@@ -188,13 +182,46 @@ def join_reference_support(spark, sf_dir: str) -> DataFrame:
     lines = raw.select("doc_id", "id", bare(F.regexp_replace("raw", r"\[[^\]]*\]|<\d+:[^>]*>", "")).alias("line"))
     lines = lines.filter(~F.col("line").rlike("(?i)作[词詞曲]|编曲|編曲|混音|母带|母帶|lyrics? by|composed by")).distinct()
     lines = lines.withColumn("k", compatibility_fold("line")).filter(F.length("k") >= 3)
-    words = records(spark, sf_dir, "cues", *_TRACK, "pos", "text").filter("track = 'whisper' and text is not null")
+    words = records(spark, sf_dir, "cues", *_TRACK, "pos", "text", where="track = 'whisper' and text is not null")
     heard = words.groupBy("id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("x"))
     heard = heard.select("id", "part", compatibility_fold(join_words(F.col("x.text"))).alias("heard")).filter("heard <> ''")
     rows = lines.join(heard, "id").withColumn("support", line_support("k", "heard"))
     return rows.select("doc_id", "part", "line", F.round("support", 4).alias("support"), (F.col("support") >= 0.64).alias("supported"))
 
 
+def _reference_scores(spark, sf_dir: str) -> DataFrame:
+    """Score of each lyrics note for each part: the letters of its supported lines, weighed by how far support exceeds a half."""
+    lines = join_reference_support(spark, sf_dir)
+    weight = F.when(F.col("supported"), F.length(compatibility_fold("line")) * (F.col("support") - 0.5)).otherwise(0.0)
+    return lines.withColumn("weight", weight).groupBy("doc_id", "part").agg(F.round(F.sum("weight"), 4).alias("score"), F.count_if("supported").alias("lines"))
+
+
+@query(None)
+def agg_reference_score(spark, sf_dir: str) -> DataFrame:
+    return _reference_scores(spark, sf_dir)
+
+
+@query(None)
+def select_reference(spark, sf_dir: str) -> DataFrame:
+    """The note with the highest score of each video's part, if that is above nothing; the smaller id among equals."""
+    scores = _reference_scores(spark, sf_dir).join(load(spark, sf_dir, "documents", "doc_id", "id"), "doc_id").filter("score > 0")
+    return scores.groupBy("id", "part").agg(F.max_by("doc_id", F.struct("score", (-F.col("doc_id")).alias("d"))).alias("doc_id"), F.max("score").alias("score"))
+
+
+@query(None)
+def fn_phonetic_key(spark, sf_dir: str) -> DataFrame:
+    """Japanese phrases by their kana's sounds, others folded: dictionaries of ideographs' readings aren't installed."""
+    return load(spark, sf_dir, "catchphrases", "phrase_id", "text", "lang").select("phrase_id", phonetic_key("text", "lang").alias("key"))
+
+
+@query(None)
+def fn_ocr_similarity(spark, sf_dir: str) -> DataFrame:
+    """Share of matching characters of each frame's on-screen text and the one seen just before."""
+    w = Window.partitionBy("id", "part").orderBy("ts", "frame_id")
+    rows = records(spark, sf_dir, "frames", "id", "part", "ts", "ocr").withColumn("before", F.lag("ocr").over(w)).filter("ocr is not null and before is not null")
+    return rows.select("frame_id", F.round(sequence_ratio(source_key(F.col("before"), False), source_key(F.col("ocr"), False)), 6).alias("ratio"))
+
+
 @query(None)
 def fn_compatibility_fold(spark, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir, "cues", "text").select("cue_id", compatibility_fold("text").alias("folded"))
@@ -207,7 +234,7 @@ _WALK = """f as (select frame_id, id, part, cast(('0x' || phash) as ubigint) h,
 
 @query(f"with recursive {_WALK} select id, part, frame_id from w where kept")
 def frames_last_kept(spark, sf_dir: str) -> DataFrame:
-    frames = records(spark, sf_dir, "frames", "id", "part", "ts", "phash").filter("ts is not null").withColumn("bits", phash_bits(F.col("phash"))).filter("bits is not null")
+    frames = records(spark, sf_dir, "frames", "id", "part", "ts", "phash", where="ts is not null").withColumn("bits", phash_bits(F.col("phash"))).filter("bits is not null")
     return folds.last_kept(frames, ["id", "part"], ["ts", "frame_id"], "bits", 10).select("id", "part", "frame_id")
 
 
@@ -231,3 +258,26 @@ def recording_candidates(spark, sf_dir: str) -> DataFrame:
     pairs = marks.join(asked, "rec", "left_semi").join(marks.select(F.col("rec").alias("other"), "h"), "h").filter("rec <> other").groupBy("rec", "other").agg(F.count("*").alias("shared"))
     w = Window.partitionBy("rec").orderBy(F.desc("shared"), "other")
     return pairs.withColumn("rn", F.row_number().over(w)).filter("rn <= 6").select("rec", "other", "shared")
+
+
+@query("""with l as (select distinct id rec, left(phash, 4) h from frames where phash is not null), o as (select rec, count(*) own from l group by rec), pr as (select a.rec, b.rec other, count(*) shared from l a join l b on a.h = b.h and a.rec <> b.rec
+  where a.rec in (select id from video_pages where cid % 50 = 0) group by all) select rec, other, fraction from (select pr.rec, other, round(shared / own, 4) fraction, row_number() over (partition by pr.rec order by shared desc, other) rn from pr join o on o.rec = pr.rec) where rn = 1""")
+def recording_best_match(spark, sf_dir: str) -> DataFrame:
+    """The recording that holds the largest share of each queried one's landmarks, the first by name among equals."""
+    own = load(spark, sf_dir, "frames", "id", "phash").filter("phash is not null").groupBy(F.col("id").alias("rec")).agg(F.count_distinct(F.left("phash", F.lit(4))).alias("own"))
+    best = recording_candidates(spark, sf_dir).groupBy("rec").agg(F.min_by(F.struct("other", "shared"), F.struct((-F.col("shared")).alias("s"), "other")).alias("b"))
+    return best.join(own, "rec").select("rec", "b.other", F.round(F.col("b.shared") / F.col("own"), 4).alias("fraction"))
+
+
+@query(f"""with {_METRICS}, i as (select id, part, unnest(list_filter([case when source <> 'auto-sub' and round(pd, 4) < 0.04 then 'punct_density' end, case when round(dr, 4) > 0.30 then 'dup_ratio' end, case when round(nz, 4) > 0.20 then 'nonzh_ratio' end,
+  case when round(cps, 4) < 1 or round(cps, 4) > 8 then 'cps' end], lambda x: x is not null)) issue from gt
+ union select c.source, coalesce(c.part, 1), unnest(list_filter([case when "end" <= "start" then 'clip order' end, case when "end" > duration + 0.1 then 'clip end' end], lambda x: x is not null)) from clip_inputs c left join video_pages v on v.id = c.source and v.page = coalesce(c.part, 1))
+ select id, part, string_agg(distinct issue, ', ' order by issue) as issues from i group by id, part""")
+def agg_issue_set(spark, sf_dir: str) -> DataFrame:
+    """What every stage had to say against a page, once each and in order."""
+    gates = _gated(spark, sf_dir).select("id", "part", F.explode(F.split(quality.failures(F.col("track")), ", ")).alias("issue")).filter("issue <> 'passed'")
+    pages = load(spark, sf_dir, "video_pages", "id", "page", "duration").withColumnRenamed("page", "part")
+    clips = records(spark, sf_dir, "clip_inputs", "source", "part", "start", "end").select(F.col("source").alias("id"), F.coalesce("part", F.lit(1)).alias("part"), "start", "end")
+    rules = F.array(F.when(F.col("end") <= F.col("start"), "clip order"), F.when(F.col("end") > F.col("duration") + 0.1, "clip end"))
+    clips = clips.join(pages, ["id", "part"], "left").select("id", "part", F.explode(F.array_compact(rules)).alias("issue"))
+    return gates.unionByName(clips).groupBy("id", "part").agg(F.array_join(F.array_sort(F.collect_set("issue")), ", ").alias("issues"))

@@ -102,7 +102,7 @@ def words_join(spark, sf_dir: str) -> DataFrame:
 @query(None)
 def words_join_all(spark, sf_dir: str) -> DataFrame:
     """``words_join`` over every cue with text, whatever its script and punctuation; the tests hold it against a plain loop."""
-    words = records(spark, sf_dir, "cues", *_TRACK, "pos", "text").filter("text is not null")
+    words = records(spark, sf_dir, "cues", *_TRACK, "pos", "text", where="text is not null")
     return words.groupBy(*_TRACK).agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("x")).select(*_TRACK, join_words(F.col("x.text")).alias("line"))
 
 
