@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewater.operators import intervals
-from tidewater.plans import acquire, bundles, live, parsing, scalars, states, timeline, trust, words  # noqa: F401
+from tidewater.plans import acquire, bundles, live, page, parsing, scalars, states, timeline, trust, words  # noqa: F401
 from tidewater.plans.base import QUERIES as _PLANNED
 
 FLAGSHIP = "live_summary"

@@ -96,14 +96,15 @@ def _lines(rows: DataFrame) -> DataFrame:
         F.max_by("text", F.struct("n", (-F.col("seq")).alias("s"))).alias("text"), F.sum("n").alias("n"), F.min("ts").alias("ts"), F.min("seq").alias("seq")
     )
     raised = rows.filter("elevated").groupBy("id", "part", "w", "text", "high_like", "author").agg(F.count("*").alias("n"), F.min("content_ts").alias("ts"), F.min("seq").alias("seq"))
-    return plain.select("id", "part", "w", "text", "n", "ts", "seq", F.lit(False).alias("elevated")).unionByName(raised.select("id", "part", "w", "text", "n", "ts", "seq", F.lit(True).alias("elevated")))
+    plain = plain.select("id", "part", "w", "text", "n", "ts", "seq", F.lit(False).alias("elevated"), F.lit(False).alias("high_like"), F.lit(None).cast("string").alias("author"))
+    return plain.unionByName(raised.select("id", "part", "w", "text", "n", "ts", "seq", F.lit(True).alias("elevated"), "high_like", "author"))
 
 
 _KEY = r"lower(trim(regexp_replace(text, '[\s　]+', '', 'g'), '，。！？、!?.,;:：…—-()（）\"''*'))"
 _LINES = f"""{_CROWD}, p1 as (select id, part, w, {_KEY} k, text, count(*) n, min(content_ts) ts, min(seq) seq from dw where not elevated group by all),
  p2 as (select id, part, w, k, (array_agg(text order by n desc, seq))[1] text, sum(n)::bigint n, min(ts) ts, min(seq) seq from p1 group by all),
- ln as (select id, part, w, text, n, ts, seq, false elevated from p2 union all
- select id, part, w, text, count(*), min(content_ts), min(seq), true from dw where elevated group by id, part, w, text, high_like, author),
+ ln as (select id, part, w, text, n, ts, seq, false elevated, false high_like, null author from p2 union all
+ select id, part, w, text, count(*), min(content_ts), min(seq), true, high_like, author from dw where elevated group by id, part, w, text, high_like, author),
  od as (select *, row_number() over (partition by id, part, w order by ts, elevated, seq, text) place,
  sum(case when elevated then 0 else 1 end) over (partition by id, part, w order by ts, elevated, seq, text rows unbounded preceding) ordinary from ln)"""
 
