@@ -27,8 +27,9 @@ def test_text_functions(spark):
     assert one(spark, text.hamming(text.phash_bits(c("a")), text.phash_bits(c("b"))), a="0000000000000000", b="f00000000000000f") == 8
     assert one(spark, text.comparison_key(c("t")), t="*Hi, There！ ") == "hi,there"
     assert one(spark, text.join_words(F.array(F.lit("ab"), F.lit("cd"), F.lit("，"), F.lit("好"), F.lit("e")))) == "ab cd，好e"
-    assert one(spark, text.json_array_in(c("t")), t='<think>["x"]</think> so ["a", "b"] end') == ["a", "b"] and one(spark, text.json_array_in(c("t")), t="none") == []
-    assert one(spark, text.masked(c("t")), t="short") == "***" and one(spark, text.masked(c("t")), t="abcdefghijk") == "abcd…hijk"
+    answer = '<think>["x"]</think> so [{"text": "a", "count": 2}, {"text": "b"}] end'
+    assert [tuple(x) for x in one(spark, text.json_array_in(c("t")), t=answer)] == [("a", 2), ("b", 1)] and one(spark, text.json_array_in(c("t")), t="none") == []
+    assert one(spark, text.masked(c("t")), t="short") == "***" and one(spark, text.masked(c("t")), t="abcdefghijk") == "abcd...hijk"
 
 
 def test_media_functions(spark):
