@@ -203,9 +203,10 @@ def agg_reference_score(spark, sf_dir: str) -> DataFrame:
 
 @query(None)
 def select_reference(spark, sf_dir: str) -> DataFrame:
-    """The note with the highest score of each video's part, if that is above nothing; the smaller id among equals."""
-    scores = _reference_scores(spark, sf_dir).join(load(spark, sf_dir, "documents", "doc_id", "id"), "doc_id").filter("score > 0")
-    return scores.groupBy("id", "part").agg(F.max_by("doc_id", F.struct("score", (-F.col("doc_id")).alias("d"))).alias("doc_id"), F.max("score").alias("score"))
+    """The note with the highest score of each video's part, the smaller id among equals; NULL if none scores above nothing."""
+    scores = _reference_scores(spark, sf_dir).join(load(spark, sf_dir, "documents", "doc_id", "id"), "doc_id")
+    place = F.when(F.col("score") > 0, F.struct("score", (-F.col("doc_id")).alias("d")))
+    return scores.groupBy("id", "part").agg(F.max_by("doc_id", place).alias("doc_id"), F.max("score").alias("score"))
 
 
 @query(None)
