@@ -110,12 +110,14 @@ def collapse_runs(
     near = F.col("_p").isNotNull() & F.col("_v").isNotNull() & (F.col("_p") != F.col("_v"))
     rows = rows.withColumn("_near", _same(F.when(near, F.col("_p")), F.when(near, F.col("_v"))))
     rows = rows.withColumn("_same", F.coalesce((F.col("_p") == F.col("_v")) | F.col("_near"), F.lit(False)))
-    rows = rows.withColumn("_canon", F.last(F.when(~F.col("_same"), F.coalesce("_v", F.lit(""))), True).over(w))
+    # Values are told apart by their hash from here on, so that texts move on only where they are asked for.
+    rows = rows.withColumn("_said", F.col("_v").isNotNull()).withColumn("_h", F.xxhash64("_v"))
+    rows = rows.withColumn("_canon", F.last(F.when(~F.col("_same"), F.col("_h")), True).over(w))
     # A slip of a slip may lead back to a value just left: such a return is another value.
     back = ~F.col("_same") & F.coalesce(F.lag("_canon").over(w) == F.col("_canon"), F.lit(False))
     rows = rows.withColumn("_value", F.struct("_canon", F.sum(F.when(back, 1).otherwise(0)).over(w).alias("_back")))
     within = Window.partitionBy(*ks, "_block", "_value").orderBy("_o", "_r")
-    rows = rows.withColumn("_run", F.col("_n") - F.row_number().over(within)).filter(F.col("_v").isNotNull())
+    rows = rows.withColumn("_run", F.col("_n") - F.row_number().over(within)).filter("_said")
     place = F.struct("_o", "_r")
     runs = rows.groupBy(*ks, "_block", "_value", "_run").agg(
         F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("n"), F.min("_s").alias("_s"),
