@@ -41,6 +41,12 @@ def test_a_total_that_can_not_be_reached(spark):
     assert report["b"].most_repeats == 2 and report["b"].copies == 10 and not report["b"].reached and report["a"].copies >= 100
 
 
+def test_a_high_cap(spark):
+    docs = make(spark, {"a": 600, "b": 3})
+    chosen, report = run(spark, docs, [("a", 0.4, 2), ("b", 0.6, 300)])
+    assert report["b"].reached and abs(report["b"].actual_share - 0.6) < 0.01 and 100 < max(r.repeats for r in chosen) <= 300
+
+
 def test_empty_tables(spark):
     docs = make(spark, {"a": 5})
     assert run(spark, docs.limit(0), [("a", 1.0, 1)])[0] == []
@@ -49,4 +55,4 @@ def test_empty_tables(spark):
 
 
 def test_poisson():
-    assert M.poisson_thresholds(0.0, 2) == [1.0, 1.0] and abs(M.capped_mean(0.2, 50) - 0.2) < 1e-9
+    assert M.capped_mean(0.0, 2) == 0.0 and abs(M.capped_mean(900.0, 10**6) - 900) < 1e-6 and M.capped_mean(M.highest_rate(199.0, 200), 200) > 199 and abs(M.capped_mean(0.2, 50) - 0.2) < 1e-9

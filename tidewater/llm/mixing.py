@@ -28,13 +28,14 @@ def _token_counts(path: str):
 
 
 def poisson_thresholds(rate: float, most: int) -> list[float]:
-    """P(X < j) for j = 1 .. ``most``: a uniform number at or beyond the j-th makes the count at least j."""
-    term = total = math.exp(-rate)
-    out = []
-    for j in range(1, most + 1):
-        out.append(total)
-        term *= rate / j
-        total += term
+    """P(X < j) for j = 1 .. ``most``, as far as they differ from 1: a uniform number at or beyond the j-th makes the count
+    at least j."""
+    out, total = [], 0.0
+    for j in range(most):
+        if j > rate and total >= 1 - 1e-15:
+            break
+        total += math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) if rate > 0 else float(j == 0)
+        out.append(min(1.0, total))
     return out
 
 
@@ -42,6 +43,14 @@ def capped_mean(rate: float, most: int) -> float:
     return sum(1 - x for x in poisson_thresholds(rate, most))
 
 
+def highest_rate(mean: float, most: int) -> float:
+    """A rate whose capped mean lies half-way between the wanted one and the cap, or beyond."""
+    rate = 1.0
+    while capped_mean(rate, most) < (mean + most) / 2 and rate < 64.0 * most:
+        rate *= 2
+    return rate
+
+
 def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> tuple[int, dict[str, float]]:
     """The total size and the tokens wanted of each source.
 
@@ -92,7 +101,7 @@ def mix_sources(
     total, goals = plan(sizes, wanted, total)
     most = {s: m for s, _, m in wanted}
     shape = "source string, k int, thresholds array<double>"
-    span = {s: (0.0, 64.0) for s in goals if goals[s] < sizes[s] * most[s]}
+    span = {s: (0.0, highest_rate(goals[s] / sizes[s], most[s])) for s in goals if goals[s] < sizes[s] * most[s]}
     rates: dict[str, list[float]] = {s: [0.0] * most[s] for s in goals if s not in span}  # all copies there may be
     for _ in range(ROUNDS if span else 0):
         tried = {(s, k): lo + (hi - lo) * k / GRID for s, (lo, hi) in span.items() for k in range(GRID + 1)}
