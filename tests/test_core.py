@@ -99,20 +99,31 @@ def test_python_functions():
     assert python.support("abc", "xxabcxx") == 1.0 and python.support("abcd", "xxabzdxx") > 0.6 and python.support("abc", "") == 0.0
 
 
-def test_recordings_match_in_spite_of_gain_and_offset():
+def test_recordings_match_in_spite_of_gain_and_offset(spark):
     import numpy as np
 
     from tidewater.functions import signal
+    from tidewater.operators import recordings
 
     rng = np.random.default_rng(5)
-    whole = np.convolve(rng.normal(size=30 * signal.RATE), np.ones(4) / 4, "same").astype(np.float32)
-    part = whole[3 * signal.RATE : 23 * signal.RATE] * 0.4
-    got = signal.compare(part, whole)
-    assert got["decision"] == "same_recording" and abs(got["offsets"][0] - 3) < 0.002
-    assert signal.compare(rng.normal(size=20 * signal.RATE).astype(np.float32), whole)["decision"] == "not_established"
-    assert signal.compare(part[:100], whole)["decision"] == "too_short"
-    tone = np.sin(np.arange(2 * signal.RATE) * 0.5).astype(np.float32)
+    second = signal.RATE
+    whole = np.convolve(rng.normal(size=30 * second), np.ones(4) / 4, "same").astype(np.float32)
+    part = whole[3 * second : 23 * second] * 0.4
+    other = rng.normal(size=20 * second).astype(np.float32)
+    mixed = np.concatenate([part[: 10 * second], other[: 10 * second]])
+    raw = lambda x: bytearray(x.astype("<f4").tobytes())
+    data = [("same", raw(part), raw(whole)), ("other", raw(other), raw(whole)), ("short", raw(part[:100]), raw(whole)), ("half", raw(mixed), raw(whole)), ("none", None, raw(whole))]
+    pairs = spark.createDataFrame(data, "k string, samples binary, reference binary")
+    got = {r.k: r for r in recordings.decisions(pairs, ["k"], "samples", "reference").collect()}
+    assert {k: r.decision for k, r in got.items()} == {"same": "same_recording_high_fit", "other": "not_established", "short": "too_short", "half": "not_established", "none": "too_short"}
+    assert got["same"].coverage == 1.0 and got["same"].longest_gap == 0.0 and got["half"].longest_gap > 9 and 0 < got["half"].fraction < 0.4
+    at = recordings.offsets(recordings.window_matches(pairs, ["k"], "samples", "reference"), ["k"])
+    assert [(r.k, round(r.value, 2)) for r in at.orderBy("k", "first").collect()] == [("half", 3.0), ("same", 3.0)]
+    assert recordings.decisions(pairs.limit(0), ["k"], "samples", "reference").count() == 0
+    tone = np.sin(np.arange(2 * second) * 0.5).astype(np.float32)
     assert signal.landmarks(tone) == signal.landmarks(tone) and signal.landmarks(tone[:10]) == []
+    marks = spark.createDataFrame([(raw(whole),), (None,)], "samples binary").select(signal.fingerprint("samples").alias("m")).collect()
+    assert [(x.hash, x.t) for x in marks[0].m] == signal.landmarks(whole) and marks[1].m == []
 
 
 def test_folds_on_changes(spark):
